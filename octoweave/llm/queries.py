@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
+from .dartminhash import near_dedup
+from .passages import passage_dedup
 from .suffix_dedup import suffix_dedup
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
 
@@ -30,7 +45,10 @@ FROM d LEFT JOIN r USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_multi_index_hashing": op1_multi_index_hashing,
+        "op3_compact_windows": op3_compact_windows,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op9_dartminhash": op9_dartminhash,
     }
 
 
