@@ -1,15 +1,16 @@
 """Near-duplicate documents by DartMinHash over five-word shingles.
 
-A document is a weighted set: each shingle weighs as often as it occurs. Element regions are cut into unit cells (shingle,
-occurrence); hashed darts arrive in each cell as a Poisson process, so equal cells of any two documents get equal darts. A
-document of n cells throws until time (k ln k + 2k) / n, which makes about k ln k + 2k darts whatever its length, each dart falls on
+A document is a weighted set: each shingle weighs 1, or with ``counted`` as often as it occurs. Element regions are cut into unit
+cells (shingle, occurrence); hashed darts arrive in each cell as a Poisson process, so equal cells of any two documents get equal
+darts. A document of n cells throws until time (k ln k + 2k) / n, which makes about k ln k + 2k darts whatever its length, each dart falls on
 one of k coordinates, and the earliest of each coordinate is its signature there; if a coordinate is still empty, the time doubles.
 Two documents agree on a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures join by bands. Documents of equal shingles form a class at once and one stands for them. In each band's bucket every
-document is paired with the smallest only, so a bucket of any size makes a linear number of pairs; pairs are checked exactly. A
-second round pairs, in buckets whose documents are still in several groups, the minority's documents with the others, so that no
-candidate pair of different groups goes unchecked. Linked groups are connected components.
+document is paired only with the most central one, which shares most buckets with others, so a bucket of any size makes a linear
+number of pairs; pairs are checked exactly. A second round compares, in buckets whose documents are still in several groups, those
+of different groups: in small buckets as pairs, in large ones in blocks, where signatures that agree on too few coordinates for
+THRESHOLD are passed over and only links leave the task. Linked groups are connected components.
 
 Defined results: null, empty and wordless texts are linked to nothing; texts under five words are one shingle; a null doc_id takes
 no part and has a null class; rows that share a doc_id are one document; other columns are ignored.
@@ -30,11 +31,14 @@ BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 CELL_BYTES = 5
+#: Coordinates on which documents of THRESHOLD agree, four standard deviations down; members of a block; buckets compared as pairs.
+AGREE = int(COORDINATES * THRESHOLD - 4 * (COORDINATES * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
+BLOCK_ROWS, PAIRED = 1024, 32
 _MAX_DOCS = 4000
 U = np.uint64
 
 
-def cells_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(data: np.ndarray, off: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The (shingle, occurrence) cells of each document as 64-bit hashes, grouped by document, and the documents' offsets."""
     words, at = K.words_of(data, off)
     shingles, to = K.shingles_of(words, at, SHINGLE)
@@ -50,6 +54,9 @@ def cells_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     head = np.flatnonzero(new)
     occurrence = np.arange(len(key)) - np.repeat(head, np.diff(np.r_[head, len(key)]))
     counts = counts + short
+    if not counted:
+        key, occurrence = key[head], occurrence[head]
+        counts = np.bincount((key >> U(52)).astype(np.int64), minlength=len(counts))
     return K.mix64((key & U(2**52 - 1)) + (occurrence.astype(np.uint64) << U(52)) * U(0x9E3779B97F4A7C15) + occurrence.astype(np.uint64)), np.r_[0, np.cumsum(counts)]
 
 
@@ -103,31 +110,37 @@ def _sums(x: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[U(0), np.cumsum(x, dtype=np.uint64)][to])
 
 
-def _sign(batches):
-    for batch in batches:
-        data, off = K.text_buffer(batch.column("text"))
-        for a, b in _runs(off):
-            cells, to = cells_of(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            sig = signatures(cells, to)
-            bands = np.zeros((b - a, BANDS), np.uint64)
-            for j in range(ROWS):
-                bands = K.mix64(bands + sig[:, j::ROWS] + U(j))
-            bands = K.mix64(bands + np.arange(BANDS, dtype=np.uint64)[None] * U(0x9E3779B97F4A7C15)).view(np.int64)
-            some = np.diff(to) > 0
-            ends = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id").slice(a, b - a), "k1": _sums(cells, to).view(np.int64), "k2": _sums(K.mix64(cells), to).view(np.int64), "n": np.diff(to).astype(np.int32),
-                "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel())),
-            })
-
-
-def _cells(batches):
-    for batch in batches:
-        data, off = K.text_buffer(batch.column("text"))
-        for a, b in _runs(off):
-            cells, to = cells_of(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            packed = [K.pack_ints(np.sort(cells[i:j] >> U(24)), CELL_BYTES) for i, j in zip(to[:-1], to[1:])]
-            yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "cells": pa.array(packed, pa.binary())})
+def _sign(counted: bool):
+    def sign(batches):
+        for batch in batches:
+            data, off = K.text_buffer(batch.column("text"))
+            for a, b in _runs(off):
+                cells, to = cells_of(data[off[a] : off[b]], off[a : b + 1] - off[a], counted)
+                sig = signatures(cells, to)
+                bands = np.zeros((b - a, BANDS), np.uint64)
+                for j in range(ROWS):
+                    bands = K.mix64(bands + sig[:, j::ROWS] + U(j))
+                bands = K.mix64(bands + np.arange(BANDS, dtype=np.uint64)[None] * U(0x9E3779B97F4A7C15)).view(np.int64)
+                some = np.diff(to) > 0
+                ends = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
+                yield pa.record_batch({
+                    "doc_id": batch.column("doc_id").slice(a, b - a), "k1": _sums(cells, to).view(np.int64), "k2": _sums(K.mix64(cells), to).view(np.int64), "n": np.diff(to).astype(np.int32),
+                    "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel())), "sig": pa.array([r.tobytes() for r in K.mix64(sig).astype(np.uint8)], pa.binary()),
+                })
+
+    return sign
+
+
+def _cells(counted: bool):
+    def cells(batches):
+        for batch in batches:
+            data, off = K.text_buffer(batch.column("text"))
+            for a, b in _runs(off):
+                found, to = cells_of(data[off[a] : off[b]], off[a : b + 1] - off[a], counted)
+                packed = [K.pack_ints(np.sort(found[i:j] >> U(24)), CELL_BYTES) for i, j in zip(to[:-1], to[1:])]
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "cells": pa.array(packed, pa.binary())})
+
+    return cells
 
 
 def _compare(batches):
@@ -141,44 +154,87 @@ def _compare(batches):
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(out, pa.float64())})
 
 
-def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of at least THRESHOLD, with their exact weighted Jaccard similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    cells = materialise(docs.join(ids, "doc_id", "left_semi").mapInArrow(_cells, "doc_id long, cells binary"), "cells")
+def _checked(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of at least THRESHOLD, with their exact (weighted) Jaccard similarity."""
     got = pairs.join(cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("y")), "b").join(cells.select(F.col("doc_id").alias("a"), F.col("cells").alias("x")), "a")
-    return materialise(got.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, similarity double").where(F.col("similarity") >= THRESHOLD), "links")
-
-
-def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return got.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, similarity double").where(F.col("similarity") >= THRESHOLD)
+
+
+def _block_links(rows: pa.Table) -> pa.Table:
+    """Links between documents of different groups in one block of a bucket, or between two blocks of it."""
+    ids, groups, block = (np.array(rows[n].combine_chunks()) for n in ("doc_id", "class_id", "at"))
+    band, same = rows["band"][0].as_py(), rows["p"][0].as_py() == rows["q"][0].as_py()
+    bands = np.asarray(rows["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+    place = int(np.argmax(bands[0] == band))
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    cells = [K.unpack_ints(c, CELL_BYTES) for c in rows["cells"].to_pylist()]
+    sizes = np.array([len(c) for c in cells])
+    _, value, n = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    common = np.cumsum(n > 1) - 1
+    hit, row = n[value] > 1, np.repeat(np.arange(len(cells)), sizes)
+    width = -(-int((n > 1).sum()) // 8) + 1
+    bits = np.zeros((len(cells), width), np.uint8)
+    at = common[value[hit]]
+    np.bitwise_or.at(bits, (row[hit], at // 8), np.uint8(1) << (at % 8).astype(np.uint8))
+    out = []
+    for i in range(0, len(ids), 64):
+        some = slice(i, i + 64)
+        ok = (groups[some, None] != groups[None]) & (ids[some, None] < ids[None])
+        if not same:
+            ok &= block[some, None] != block[None]
+        x, y = np.nonzero(ok)
+        keep = ((sig[x + i] == sig[y]).sum(axis=1) >= AGREE) & ~(bands[x + i, :place] == bands[y, :place]).any(axis=1)
+        x, y = x[keep] + i, y[keep]
+        for j in range(0, len(x), 1 << 14):
+            u, v = x[j : j + (1 << 14)], y[j : j + (1 << 14)]
+            shared = np.bitwise_count(bits[u] & bits[v]).sum(axis=1, dtype=np.int64)
+            similarity = shared / (sizes[u] + sizes[v] - shared)
+            linked = similarity >= THRESHOLD
+            out.append((ids[u[linked]], ids[v[linked]], similarity[linked]))
+    a, b, similarity = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
+
+
+def near_links(docs: DataFrame, counted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed documents, copies (a, b), checked links (a, b, similarity) between texts of different shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    signed = materialise(docs.mapInArrow(_sign, "doc_id long, k1 long, k2 long, n int, bands array<long>"), "signed")
+    signed = materialise(docs.mapInArrow(_sign(counted), "doc_id long, k1 long, k2 long, n int, bands array<long>, sig binary"), "signed")
     some = signed.where("n > 0")
     stands = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     copies = materialise(some.select("doc_id", "k1", "k2").join(stands, ["k1", "k2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "copies")
     reps = some.join(stands.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("band")).distinct()
-    hubs = buckets.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    # The document that shares most buckets with others is likeliest to be what its neighbours were made from.
+    central = buckets.join(sizes, "band").groupBy("doc_id").agg(F.sum("c").alias("central"))
+    held = buckets.join(sizes.select("band"), "band", "left_semi").join(central, "doc_id")
+    hubs = held.groupBy("band").agg(F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("hub"))
+    buckets = held.select("band", "doc_id")
     members = materialise(buckets.join(hubs, "band"), "members")
-    links = _checked(docs, members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    cells = docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_cells(counted), "doc_id long, cells binary")
+    cells = materialise(cells, "cells")
+    pairs = members.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    links = materialise(_checked(cells, pairs), "links")
 
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    by_class = placed.groupBy("band", "class_id").agg(F.count("*").alias("c"))
-    most = by_class.groupBy("band").agg(F.max_by("class_id", F.struct("c", -F.col("class_id"))).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    mixed = materialise(placed.join(most, "band"), "mixed")
-    x = mixed.where("class_id <> main").select("band", F.col("doc_id").alias("p"), F.col("class_id").alias("pc"))
-    y = mixed.select("band", F.col("doc_id").alias("q"), F.col("class_id").alias("qc"), (F.col("class_id") == F.col("main")).alias("main"), "hub")
-    rest = x.join(y, "band").where("pc <> qc AND (main OR p < q) AND p <> hub AND q <> hub").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = materialise(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_checked(docs, rest))
+    spread = placed.groupBy("band").agg(F.count("*").alias("c"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("band", "c")
+    mixed = materialise(placed.join(spread, "band"), "mixed")
+    few = mixed.where(F.col("c") <= PAIRED)
+    x, y = few.select("band", "hub", F.col("doc_id").alias("a"), F.col("class_id").alias("ac")), few.select("band", F.col("doc_id").alias("b"), F.col("class_id").alias("bc"))
+    rest = x.join(y, "band").where("ac <> bc AND a < b AND a <> hub AND b <> hub").select("a", "b").distinct()
+    more = _checked(cells, rest)
+    many = mixed.where(F.col("c") > PAIRED).withColumn("blocks", F.ceil(F.col("c") / BLOCK_ROWS).cast("int")).withColumn("at", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "doc_id", "class_id")
+    signs = reps.join(some.groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ = 1"), "doc_id", "left_semi").select("doc_id", "bands", "sig")
+    blocks = many.join(signs, "doc_id").join(cells, "doc_id").groupBy("band", "p", "q").applyInArrow(_block_links, "a long, b long, similarity double")
+    links = materialise(links.unionByName(more).unionByName(blocks), "links")
     return signed, copies, links
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, counted: bool = False) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group; its own if alone) and n_links (checked links to other texts) of each row."""
-    signed, copies, links = near_links(docs)
+    signed, copies, links = near_links(docs, counted)
     groups = components(copies.unionByName(links.select("a", "b")))
     counts = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     known = groups.withColumnRenamed("node", "doc_id").join(counts, "doc_id", "left")
