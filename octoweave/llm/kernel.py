@@ -67,12 +67,12 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES):
         i = min(j, n)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the offsets of each document's words among them."""
+def word_spans(data: np.ndarray, off: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the offsets of each document's words among them; ``word``: which bytes belong to words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = IS_WORD[data]
+    word = IS_WORD[data] if word is None else word
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     starts = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | edge[:-1]))
