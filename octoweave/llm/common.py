@@ -67,3 +67,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = new
     low = edges.groupBy("u").agg(F.min("v").alias("class_id")).withColumnRenamed("u", "node")
     return low.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("class_id")).distinct())
+
+
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    """Rows whose labels nothing may learn from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int) -> DataFrame:
+    """doc_id, text, label_ of at most ``rows`` labelled documents that are not held out and have ``max_bytes`` of text at most: those
+    of the least hashed doc_id, so that the sample is the same on every run. It bounds what a model is fitted on, and nothing else."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("id_")).agg(F.max(label).cast("int").alias("label_"))
+    some = known.orderBy(F.xxhash64("id_"), "id_").limit(rows)
+    fit = docs.select(F.col("doc_id").alias("id_"), "text").where(F.octet_length("text") <= max_bytes)
+    return fit.join(F.broadcast(some), "id_").withColumnRenamed("id_", "doc_id")  # a row for each sampled label: at most ``rows``
