@@ -5,18 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
 from .dartminhash import near_dedup
+from .decontaminate import leaks
+from .licenses import scan
+from .line_dedup import line_dedup
+from .mixing import mix
 from .passages import passage_dedup
+from .quality import quality
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.md5("text").alias("kept_md5"))
+
+
+def op4_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_gated_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,16 +75,36 @@ FROM d LEFT JOIN r USING (doc_id)
 """
 
 
+OP2_SQL = """
+WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
+n AS (SELECT doc_id, line, trim(raw) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS p FROM l WHERE trim(raw) <> ''),
+w AS (SELECT a.doc_id, a.p, a.line AS l1, b.line AS l2, c.line AS l3, a.c AS c1, b.c AS c2, c.c AS c3
+      FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p = a.p + 1 JOIN n c ON a.doc_id = c.doc_id AND c.p = a.p + 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY c1, c2, c3 ORDER BY doc_id, p) AS nth FROM w),
+g AS (SELECT DISTINCT doc_id, unnest([l1, l2, l3]) AS line FROM o WHERE nth > 1),
+k AS (SELECT l.doc_id, count(*) FILTER (trim(raw) <> '') AS n_lines, count(g.line) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS kept
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
+SELECT d.doc_id, k.n_lines, k.n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE md5(k.kept) END AS kept_md5 FROM documents d JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
+        "op2_line_windows": op2_line_windows,
         "op3_compact_windows": op3_compact_windows,
+        "op4_sainte_lague": op4_sainte_lague,
+        "op5_template_windows": op5_template_windows,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_license_join": op7_license_join,
+        "op8_gated_network": op8_gated_network,
         "op9_dartminhash": op9_dartminhash,
+        "op10_boosted_trees": op10_boosted_trees,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_windows": OP2_SQL,
         "op6_suffix_dedup": OP6_SQL,
     }
