@@ -146,17 +146,36 @@ def _scan(index):
     return scan
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, slots_agreeing, slots, first_token: each benchmark item that a document holds."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, coverage double, slots_agreeing int, slots int, first_token long"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _indexes(benchmark: DataFrame):
+    """The benchmark's indexes, broadcast, each of a part of at most about PART_BYTES."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     parts = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
-    out = spark.createDataFrame([], schema) if not parts else None
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
-        index = spark.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["text"].combine_chunks()))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["text"].combine_chunks()))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, coverage, slots_agreeing, slots, first_token: each benchmark item that a document holds."""
+    schema = "doc_id long, item_id long, coverage double, slots_agreeing int, slots int, first_token long"
+    texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    for index in _indexes(benchmark):
         found = texts.mapInArrow(_scan(index), schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are; no join and no shuffle."""
+    for index in _indexes(benchmark):
+
+        def keep(batches, index=index):
+            for batch in batches:
+                data, off = K.text_buffer(batch.column("text"))
+                ok = np.ones(batch.num_rows, bool)
+                for a, b in K.slices(off):
+                    ok[[a + found[0] for found in index.value.leaks(data[off[a] : off[b]], off[a : b + 1] - off[a])]] = False
+                yield batch.filter(pa.array(ok))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

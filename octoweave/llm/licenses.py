@@ -43,7 +43,7 @@ TEMPLATES = [
 ]
 
 
-def _sets() -> list[tuple[int, str, list[str], int]]:
+def template_sets() -> list[tuple[int, str, list[str], int]]:
     out = []
     for i, (label, text) in enumerate(TEMPLATES):
         words = sorted(set(text.split()))
@@ -64,7 +64,7 @@ def _count(spaced: Column) -> Column:
 
 def blocks_meeting(texts: DataFrame) -> DataFrame:
     """(key, template, label, containment) of each block that meets a template; ``texts``: key, spaced lines as ``lines``."""
-    spark, sets = texts.sparkSession, _sets()
+    spark, sets = texts.sparkSession, template_sets()
     vocabulary = sorted({w for _, _, words, _ in sets for w in words})
     least = min(a for *_, a in sets)
     known = F.array(*map(F.lit, vocabulary))

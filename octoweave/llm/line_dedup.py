@@ -44,9 +44,10 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their text cut, and n_lines_, n_removed_: lines that are not blank, and how many of them went."""
-    keyed = docs.withColumns({"id_": F.col("doc_id"), "k_": F.xxhash64("text"), "text_": F.col("text")})
-    gone = covered_lines(keyed.select("id_", "k_", "text_")).withColumnsRenamed({"id_": "id__", "k_": "k__"})
-    joined = keyed.join(gone, F.col("id_").eqNullSafe(F.col("id__")) & (F.col("k_") == F.col("k__")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = joined.withColumns({"n_lines_": F.size(_lines("text_")), "n_removed_": F.coalesce(F.size("gone"), F.lit(0)), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)})
-    return out.select(*docs.columns, "n_lines_", "n_removed_")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("k_"))
+    gone = covered_lines(docs.select(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("k_"), F.col("text").alias("text_"))).withColumnsRenamed({"id_": "id__", "k_": "k__"})
+    joined = keyed.join(gone.hint("merge"), F.col("id_").eqNullSafe(F.col("id__")) & (F.col("k_") == F.col("k__")), "left")
+    cut = F.array_join(F.filter(F.split("row_.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row_.text")).otherwise(cut).alias("text")
+    kept = [text if c == "text" else F.col(f"row_.`{c}`") for c in docs.columns]
+    return joined.select(*kept, F.size(_lines("row_.text")).alias("n_lines_"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_"))

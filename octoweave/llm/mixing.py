@@ -71,7 +71,7 @@ def _deal(block: int):
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
         quota = sainte_lague(rows["shard_size"].tolist(), int(rows["seats"].iloc[0]))
-        return pd.DataFrame({"source_key": rows["source_key"], "shard": rows["shard"], "quota": [q * block for q in quota]})
+        return pd.DataFrame({"source_key": rows["source_key"], "shard": rows["shard"], "shard_size": rows["shard_size"], "quota": [q * block for q in quota]})
 
     return deal
 
@@ -90,19 +90,24 @@ def plan(sized: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFr
     return sized.sparkSession.createDataFrame(rows, "source_null boolean, source_key string, source_size long, target double, seats long, shards long")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes of the row, repeats counted) for each row."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))).alias("turn"))
-    keyed = sized.withColumns({"source_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))})
+def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = REPEATS, carry: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes of the row, repeats counted) for each row; with ``carry``, all
+    other columns of ``docs`` as well."""
+    own = ["doc_id", "size", "source_size", "target", "taken"]
+    others = [c for c in docs.columns if c not in own] if carry else []
+    turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select("doc_id", "source", size.alias("size"), turn.alias("turn"), *([F.struct(*others).alias("row_")] if others else []))
+    keyed = sized.withColumns({"source_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))}).drop("source")
     # at most MAX_SOURCES rows of a name and five numbers
     placed = keyed.join(F.broadcast(plan(sized, block, repeats)), ["source_null", "source_key"])
     placed = placed.withColumn("source_key", F.concat(F.col("source_null").cast("string"), F.col("source_key"))).withColumn("shard", F.pmod(F.xxhash64("turn"), "shards"))
     shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
-    quotas = shards.groupBy("source_key").applyInPandas(_deal(block), "source_key string, shard long, quota long").join(shards.drop("seats"), ["source_key", "shard"])
+    quotas = shards.groupBy("source_key").applyInPandas(_deal(block), "source_key string, shard long, shard_size long, quota long")
     turns = Window.partitionBy("source_key", "shard").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = placed.join(quotas, ["source_key", "shard"]).withColumn("before", F.sum("size").over(turns) - F.col("size"))
+    dealt = placed.join(quotas.hint("merge"), ["source_key", "shard"]).withColumn("before", F.sum("size").over(turns) - F.col("size"))
     quota = F.least(F.col("quota"), F.col("shard_size") * repeats)
     passes = F.when(F.col("shard_size") > 0, F.floor(quota / F.col("shard_size"))).otherwise(0).cast("long")
     rest = quota - passes * F.col("shard_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    return dealt.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return dealt.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(F.col(f"row_.`{c}`") for c in others))

@@ -11,7 +11,7 @@ from .ann import nearest
 from .common import table
 from .dartminhash import near_dedup
 from .decontaminate import leaks
-from .licenses import scan
+from .licenses import LOWER, PHRASES, UPPER, scan, template_sets
 from .line_dedup import line_dedup
 from .mixing import mix
 from .passages import passage_dedup
@@ -88,6 +88,29 @@ SELECT d.doc_id, k.n_lines, k.n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE
 """
 
 
+OP7_SQL = """
+WITH t AS (SELECT * FROM (VALUES {templates}) AS t(template, label, words, need)),
+ph AS (SELECT * FROM (VALUES {phrases}) AS ph(phrase, label)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, i, label, len(string_split(phrase, ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) x JOIN ph
+       ON array_to_string(list_slice(w, i + 1, i + len(string_split(phrase, ' '))), ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
+l AS (SELECT DISTINCT doc_id, line, list_distinct(regexp_extract_all(translate(line, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(l.w, t.words))::DOUBLE / len(t.words) AS c FROM l, t WHERE len(list_intersect(l.w, t.words)) >= t.need),
+more AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS best FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(more.best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+def _op7_sql() -> str:
+    templates = ", ".join(f"({i}, '{label}', {words!r}, {need})" for i, label, words, need in template_sets())
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES.items())
+    return OP7_SQL.format(templates=templates, phrases=phrases, upper=UPPER, lower=LOWER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
@@ -107,4 +130,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_windows": OP2_SQL,
         "op6_suffix_dedup": OP6_SQL,
+        "op7_license_join": _op7_sql(),
     }
