@@ -8,7 +8,7 @@ first shared word leaves enough words after it on both sides. Candidates are the
 
 Only the template vocabulary, a fixed list, is broadcast. Phrases that name a license outright are counted beside the join.
 
-Defined results: null text is empty; empty texts have no words, no place and score 0; a word is ``WORD`` after A-Z became a-z; rows
+Defined results: null text is empty; empty texts have no words, no place and score 0; words are what stands between ``BREAK`` after A-Z became a-z; rows
 that repeat give rows that repeat; other columns are ignored.
 """
 
@@ -19,9 +19,13 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 CONTAINMENT = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text that is not folded.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices in common use, one label each.
 TEMPLATES = [
@@ -51,9 +55,14 @@ def template_sets() -> list[tuple[int, str, list[str], int]]:
     return out
 
 
+def _folded(text: Column) -> Column:
+    """A-Z as a-z and nothing else. Two letters beyond ASCII fold to ASCII by the general rule, so texts that have them take the slow way."""
+    return F.when(F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130")), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
 def _spaced(text: Column) -> Column:
     """The text's words, each between two spaces of its own: ' a  b '; '' without words."""
-    joined = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK, " "))
+    joined = F.trim(F.regexp_replace(_folded(text), BREAK, " "))
     return F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(joined, F.lit(" "), F.lit("  ")), F.lit(" ")))
 
 
@@ -62,16 +71,20 @@ def _count(spaced: Column) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def blocks_meeting(texts: DataFrame) -> DataFrame:
-    """(key, template, label, containment) of each block that meets a template; ``texts``: key, spaced lines as ``lines``."""
-    spark, sets = texts.sparkSession, template_sets()
-    vocabulary = sorted({w for _, _, words, _ in sets for w in words})
-    least = min(a for *_, a in sets)
-    known = F.array(*map(F.lit, vocabulary))
-    blocks = texts.select("key", F.posexplode("lines").alias("block", "line"))
-    # A block's words that templates know; no other word can count towards containment.
-    blocks = blocks.select("key", "block", F.array_intersect(F.split("line", " +"), known).alias("words")).where(F.size("words") >= least)
+def blocks_of(texts: DataFrame) -> DataFrame:
+    """(key, block, words): each line's distinct words that templates know, if enough for the smallest need; no other word can count
+    towards containment. Written once, since frequencies and candidates both read it."""
+    sets = template_sets()
+    vocabulary, least = sorted({w for _, _, words, _ in sets for w in words}), min(need for *_, need in sets)
+    lines = texts.select("key", F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("block", "line")).where(F.octet_length("line") >= 2 * least - 1)
+    words = F.array_distinct(F.filter(F.split("line", BREAK), lambda w: w.isin(*vocabulary)))
+    return materialise(lines.select("key", "block", words.alias("words")).where(F.size("words") >= least), "blocks")
 
+
+def blocks_meeting(blocks: DataFrame) -> DataFrame:
+    """(key, block, template, label, containment) of each block that meets a template."""
+    spark, sets = blocks.sparkSession, template_sets()
+    vocabulary = {w for _, _, words, _ in sets for w in words}
     # The frequencies of a fixed vocabulary: as many rows as it has words, whatever the corpus.
     frequency = {r["word"]: r["df"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()}
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
@@ -80,9 +93,11 @@ def blocks_meeting(texts: DataFrame) -> DataFrame:
         ranked = [w for w in order if w in words]
         rows += [(i, label, len(words), need, j, w, ranked) for j, w in enumerate(ranked[: len(words) - need + 1])]
     prefix = spark.createDataFrame(rows, "template int, label string, n int, need int, i int, word string, t_words array<string>")
-    ordered = blocks.select("key", "block", F.filter(F.array(*map(F.lit, order)), lambda w: F.array_contains("words", w)).alias("b_words"))
-    starts = ordered.select("key", "block", "b_words", F.size("b_words").alias("m"), F.posexplode(F.slice("b_words", 1, F.size("b_words") - least + 1)).alias("j", "word"))
-    met = starts.join(F.broadcast(prefix), "word").where((F.col("m") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) >= F.col("need")))
+    met = blocks.select("key", "block", "words", F.explode("words").alias("word")).join(F.broadcast(prefix), "word").where(F.size("words") >= F.col("need"))
+    # Candidates alone are put in order: the word must be in the block's prefix too, and leave enough words on both sides.
+    met = met.withColumn("b_words", F.filter(F.array(*map(F.lit, order)), lambda w: F.array_contains("words", w))).withColumn("m", F.size("b_words"))
+    met = met.withColumn("j", F.array_position("b_words", F.col("word")).cast("int") - 1)
+    met = met.where((F.col("j") <= F.col("m") - F.col("need")) & (1 + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) >= F.col("need")))
     # The first shared word alone brings a pair, so that no pair comes twice.
     met = met.where(F.element_at(F.array_intersect("b_words", "t_words"), 1) == F.col("word"))
     shared = F.size(F.array_intersect("b_words", "t_words"))
@@ -92,21 +107,27 @@ def blocks_meeting(texts: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row."""
     # Rows equal in doc_id and text get equal answers, so their hash is key enough.
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    spaced = keyed.select("doc_id", "key", _spaced(F.col("text")).alias("spaced"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+    folded = keyed.select("doc_id", "key", "text", _folded(F.col("text")).alias("folded"))
+    may = None
+    for phrase in PHRASES:
+        all_ = None
+        for word in sorted(phrase.split(), key=lambda w: -len(w)):
+            has = F.contains("folded", F.lit(word))
+            all_ = has if all_ is None else all_ & has
+        may = all_ if may is None else may | all_
+    spaced = folded.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(may, _spaced(F.col("text"))).otherwise("").alias("spaced"))
     places = []
     for phrase, label in PHRASES.items():
         needle = " " + phrase.replace(" ", "  ") + " "
         n = ((F.length("spaced") - F.length(F.replace(F.col("spaced"), F.lit(needle), F.lit("")))) / len(needle)).cast("long")
         first = _count(F.substring_index("spaced", needle, 1))
-        last = _count(F.col("spaced")) - _count(F.substring_index("spaced", needle, -1)) - len(phrase.split())
-        found = F.col("spaced").contains(needle)
-        places.append(F.when(found, F.struct(n.alias("n"), first.alias("first"), last.alias("last"), F.lit(label).alias("label"))))
-    base = spaced.select("doc_id", "key", _count(F.col("spaced")).alias("n_words"), F.filter(F.array(*places), lambda p: p.isNotNull()).alias("places"))
-
-    lines = keyed.where(F.col("text").isNotNull()).select("key", F.transform(F.split("text", "\n"), _spaced).alias("lines"))
-    met = blocks_meeting(lines).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    out = base.join(met, "key", "left")
+        last = F.col("n_words") - _count(F.substring_index("spaced", needle, -1)) - len(phrase.split())
+        places.append(F.when(F.contains("spaced", F.lit(needle)), F.struct(n.alias("n"), first.alias("first"), last.alias("last"), F.lit(label).alias("label"))))
+    base = spaced.select("doc_id", "key", "n_words", F.filter(F.array(*places), lambda p: p.isNotNull()).alias("places"))
+
+    met = blocks_meeting(blocks_of(keyed.select("key", "text"))).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    out = base.join(met.hint("merge"), "key", "left")
     base_labels = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     return out.select(
         "doc_id", "n_words", F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n_base"),
