@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import held_out, labelled_sample
 
-FIT_ROWS, FIT_BYTES = 3000, 1 << 15
+FIT_ROWS, FIT_BYTES = 3000, 1 << 14
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 32, 16, 8, 4, 4, 4096
 INPUT = 1 + WORD_DIM + CHAR_DIM
 STEPS, ROUNDS, BATCH, RATE, DECAY, LEAST_TEXTS = 400, 6, 128, 0.01, 1e-5, 3
 THRESHOLD = 0.3
-_LANES = 2048
+_LANES, _WORDS = 2048, 1 << 15
 U = np.uint64
 F32 = np.float32
 
@@ -48,10 +48,13 @@ class Words:
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         starts, ends, self.at = K.word_spans(data, off)
-        self.hash = K.span_hashes(data, starts, ends)
-        b = K.FOLD[data].astype(np.uint32)
-        b = np.r_[b, np.zeros(2, np.uint32)]
-        self.trigram = ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * np.uint32(2654435761) >> np.uint32(20)).astype(np.int32) if len(data) else np.zeros(0, np.int32)
+        self.hash = np.zeros(len(starts), np.uint64)
+        self.trigram = np.zeros(len(data), np.int16)
+        for i, j in K.slices(off):
+            a, b = self.at[i], self.at[j]
+            self.hash[a:b] = K.span_hashes(data[off[i] : off[j]], starts[a:b] - off[i], ends[a:b] - off[i])
+            c = np.r_[K.FOLD[data[off[i] : off[j]]], np.zeros(2, np.uint8)].astype(np.uint32)
+            self.trigram[off[i] : off[j]] = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) * np.uint32(2654435761) >> np.uint32(20)
         self.starts, self.lengths = starts, np.maximum(ends - starts - 2, 1)
         n = np.diff(self.at)
         self.count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
@@ -81,16 +84,23 @@ class Network:
         self.calibration = np.array([1.0, 0.0, 0.0])
         self.share, self.fitted = share, False
 
-    def inputs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(word rows, inputs) of every word."""
-        if not len(words.hash):
-            return np.zeros(0, np.int64), np.zeros((0, INPUT), F32)
-        at = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
-        row = np.where(self.vocabulary[at] == words.hash, at, len(self.vocabulary))
-        total = np.zeros((len(words.trigram) + 1, CHAR_DIM), np.float64)
-        np.cumsum(self.p["char"][words.trigram], axis=0, out=total[1:])
-        char = (total[np.minimum(words.starts + words.lengths, len(words.trigram))] - total[words.starts]) / words.lengths[:, None]
-        return row, np.concatenate([self.odds[row][:, None], self.p["word"][row], char.astype(F32)], axis=1)
+    def inputs(self, words: Words, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(word rows, inputs) of the words from first to last - 1, some at a time."""
+        last = len(words.hash) if last is None else last
+        row, x = np.zeros(last - first, np.int32), np.zeros((last - first, INPUT), F32)
+        for a in range(first, last, _WORDS):
+            b = min(a + _WORDS, last)
+            at = np.minimum(np.searchsorted(self.vocabulary, words.hash[a:b]), len(self.vocabulary) - 1)
+            some = np.where(self.vocabulary[at] == words.hash[a:b], at, len(self.vocabulary))
+            start = words.starts[a:b]
+            base, end = start[0], min(start[-1] + words.lengths[b - 1], len(words.trigram))
+            total = np.zeros((end - base + 1, CHAR_DIM))
+            np.cumsum(self.p["char"][words.trigram[base:end]], axis=0, out=total[1:])
+            stop = np.minimum(start + words.lengths[a:b], end)
+            row[a - first : b - first], out = some, x[a - first : b - first]
+            out[:, 0], out[:, 1 : 1 + WORD_DIM] = self.odds[some], self.p["word"][some]
+            out[:, 1 + WORD_DIM :] = (total[stop - base] - total[start - base]) / words.lengths[a:b, None]
+        return row, x
 
     def projected(self, x: np.ndarray) -> list[np.ndarray]:
         x = x if len(x) else np.zeros((1, INPUT), F32)
@@ -163,17 +173,19 @@ class Network:
         out["word"][-1] = 0
         return out
 
-    def windows(self, words: Words, projected: list[np.ndarray]) -> np.ndarray:
-        """Logits of all windows."""
+    def windows(self, words: Words) -> np.ndarray:
+        """Logits of all windows, in runs whose words are projected together."""
         out = np.zeros(len(words.first), F32)
         for i in range(0, len(out), _LANES):
             some = np.arange(i, min(i + _LANES, len(out)))
-            out[some] = self.forward(projected, *words.places(some))
+            places, mask = words.places(some)
+            lo, hi = int(words.first[some[0]]), int(words.first[some[-1]] + words.left[some[-1]])
+            out[some] = self.forward(self.projected(self.inputs(words, lo, hi)[1]), np.where(mask, places - lo, 0), mask)
         return out
 
-    def strongest(self, words: Words, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(logit, window) of each text's strongest window; the bias for texts without words. ``x``: the words' inputs."""
-        logits = self.windows(words, self.projected(self.inputs(words)[1] if x is None else x))
+    def strongest(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, window) of each text's strongest window; the bias for texts without words."""
+        logits = self.windows(words)
         best, where = np.full(len(words.count), self.p["bo"][0], np.float64), np.full(len(words.count), -1)
         some = np.flatnonzero(words.count)
         if len(some):
@@ -200,9 +212,11 @@ def train(texts: pa.Array, y: np.ndarray) -> Network:
     words = Words(data, off)
     text = np.repeat(np.arange(len(y)), np.diff(words.at))
     fits = ~apart[text]
-    pairs = np.unique(np.stack([words.hash[fits], text[fits].astype(np.uint64)], 1), axis=0)
-    vocabulary, which, seen = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-    ones = np.bincount(which, y[pairs[:, 1].astype(np.int64)], len(vocabulary))
+    order = np.lexsort((text[fits], words.hash[fits]))
+    h, of = words.hash[fits][order], text[fits][order]
+    once = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]  # each word once a text
+    vocabulary, which, seen = np.unique(h[once], return_inverse=True, return_counts=True)
+    ones = np.bincount(which, y[of[once]], len(vocabulary))
     n1, n0 = y[~apart].sum(), (1 - y[~apart]).sum()
     odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((seen - ones + 0.5) / (n0 + 1))
     odds *= seen / (seen + 4.0)
@@ -211,10 +225,10 @@ def train(texts: pa.Array, y: np.ndarray) -> Network:
     fit_texts = np.flatnonzero(~apart & (words.count > 0))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    rounds = max(ROUNDS, STEPS * BATCH // (2 * len(fit_texts)))
+    rounds = min(40, max(ROUNDS, STEPS * BATCH // (2 * len(fit_texts))))  # small samples have few steps a round
     for _ in range(rounds):
         row, x = net.inputs(words)  # they move slowly within a round
-        _, where = net.strongest(words, x)
+        _, where = net.strongest(words)
         zero = fit_texts[y[fit_texts] == 0]
         window = np.r_[where[fit_texts], words.to[zero] + (rng.random(len(zero)) * words.count[zero]).astype(np.int64)]
         label = np.r_[y[fit_texts], np.zeros(len(zero))]
