@@ -3,7 +3,7 @@
 Texts become typed tokens: numbers (digits, or number words), names (capitalised tokens), units, and other words, lower-cased. A
 template puts one placeholder for each type; windows of WINDOW template tokens, LITERAL of them plain words at least, are hashed and
 joined with the benchmark's. Hits on one alignment of document and item are a leak if they cover COVERAGE of the item's tokens and
-the slots agree: an item's slot value stands for one value throughout the passage and the other way round, in AGREE of the slots. So
+the slots agree: an item's slot value stands for one value throughout the passage and the other way round, in more than AGREE of the slots. So
 a question with other numbers, names or units is caught, and one whose slots are shuffled is not.
 
 The benchmark is indexed in parts of at most PART_BYTES, each broadcast to one pass over the documents; a benchmark of any size is
@@ -109,7 +109,7 @@ class Index:
             places = np.unique((there[a:b, None] + np.arange(WINDOW)).ravel())
             slot = places[self.kind[places] > 0]
             agree = self.consistent(self.token[slot], token[slot + shift[a]])
-            if agree >= AGREE * len(slot):
+            if agree > AGREE * len(slot) or not len(slot):
                 key = (int(text[a]), int(item[a]))
                 found = (float(covered[g] / size[g]), int(agree), len(slot), int(there[a] + shift[a] - at[text[a]]))
                 best[key] = max(best.get(key, found), found, key=lambda f: (f[0], f[1], -f[3]))

@@ -78,7 +78,7 @@ class Forest:
         self.bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (0.0 if not len(y) else np.sign(share - 0.5) * 5.0)
         inner = 2**DEPTH - 1
         self.feature, self.threshold, self.value = np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1))
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             return
         edges = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
         bins = np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, x.T)], axis=1)

@@ -205,7 +205,7 @@ def train(texts: pa.Array, y: np.ndarray) -> Network:
     """Fits a network to texts and their 0/1 labels."""
     data, off = K.text_buffer(texts)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Network(np.zeros(1, np.uint64), np.zeros(2), share)
     rng = np.random.default_rng(11)
     apart = rng.permutation(len(y)) % 4 == 0

@@ -1,0 +1,433 @@
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from octoweave.llm import ann, common, dartminhash, decontaminate, licenses, line_dedup, mixing, passages, quality, suffix_dedup, toxicity
+
+DOCS = "doc_id long, text string"
+
+
+def words(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+
+
+@pytest.fixture(scope="module")
+def sample(spark, sf_dir):
+    """Documents of the smallest table, with awkward rows."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9000, None), (9001, ""), (9002, "\n\n \n"), (9003, "ab " * 3000), (9004, rows[3][1] * 3), (None, rows[5][1]), (None, None), (rows[0][0], rows[0][1]), (9005, "One two"), (9006, "one  TWO.")]
+    return rows
+
+
+def frame(spark, rows):
+    """With columns whose names clash with what the operators use."""
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("block", "bucket", "size", "class_id", "id_", "k_", "row_", "held_out", "score", "key", "target"):
+        df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def roots(nodes, pairs):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+# --- 1
+
+
+def test_nearest_finds_the_true_neighbours(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = ann.nearest(df).toPandas()
+    pdf = df.toPandas().sort_values("vec_id")
+    x, ids = np.stack(pdf["embedding"]).astype(float), pdf["vec_id"].to_numpy()
+    hit = total = 0
+    for q, rows in got.groupby("query_id"):
+        s = x @ x[ids == q][0]
+        best = [int(i) for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+        assert rows.sort_values("rank")["rank"].tolist() == list(range(1, 21)) and (np.diff(rows.sort_values("rank")["score"]) <= 0).all()
+        hit += len(set(best) & set(rows["vec_id"]))
+        total += 20
+        assert np.allclose(rows.set_index("vec_id")["score"], [x[ids == v][0] @ x[ids == q][0] for v in rows["vec_id"]])
+    assert set(got["query_id"]) == {int(i) for i in ids if i % 20 == 0} and hit / total >= 0.9
+
+
+def test_nearest_breaks_ties_and_leaves_bad_vectors_out(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(0, 100)] + [(200, None), (201, [0.0, 0.0]), (202, [float("nan"), 1.0]), (203, [None, 1.0]), (204, [float("inf"), 1.0]), (205, [1.0]), (None, [1.0, 2.0]), (40, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("rank", F.lit(1))
+    got = defaultdict(list)
+    for r in ann.nearest(df).orderBy("rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {q: [i for i in range(100) if i != q][:20] for q in range(0, 100, 20)}
+    few = ann.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [0.5])], "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in few] == [(1, 2.0), (2, 0.5)]
+    assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_probing_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, 256, (500, 8)).astype(np.uint8)
+    for radius in (0, 5, 17, 28, 64):
+        want = ann.hamming(codes[:20, None], codes[None]) <= radius
+        assert np.array_equal(ann.Block(codes).within(codes[:20], radius), want)
+
+
+# --- 2
+
+
+def test_line_windows_agree_with_brute_force(spark, sample):
+    seen, covered = {}, defaultdict(set)
+    order = sorted({(i is None, i or 0, t or "") for i, t in sample if i is not None})
+    for _, i, t in order:
+        lines = [(n, x.strip(" ")) for n, x in enumerate(t.split("\n")) if x.strip(" ")]
+        for p in range(len(lines) - 2):
+            w = tuple(x for _, x in lines[p : p + 3])
+            if w in seen:
+                covered[i].update(n for n, _ in lines[p : p + 3])
+            seen.setdefault(w, (i, p))
+    df = frame(spark, [r for r in sample if r[0] is not None])
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns, "n_lines_", "n_removed_"]
+    texts = dict(sample)
+    for r in out.collect():
+        t = texts[r["doc_id"]]
+        assert r["n_removed_"] == len(covered[r["doc_id"]])
+        assert r["text"] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in covered[r["doc_id"]]))
+    assert out.count() == len([r for r in sample if r[0] is not None]) and line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_null_ids_come_last_and_equal_rows_fare_alike(spark):
+    text = "a\nb\nc\nd"
+    out = line_dedup.line_dedup(spark.createDataFrame([(None, text), (7, text), (7, text), (3, "x\na\nb\nc")], DOCS)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == [("3", "x\na\nb\nc"), ("7", "d"), ("7", "d"), ("None", "")]
+
+
+# --- 3
+
+
+def test_passages_link_the_documents_that_share_them(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join("w%d" % v for v in rng.integers(0, 10**6, n))
+    shared, other = text(60), text(60)
+    edited = shared.split()
+    edited[30] = "changed"
+    rows = [(1, text(200) + " " + shared + " " + text(90)), (2, shared.upper().replace(" ", ", ") + " " + text(300)), (3, text(100)), (4, text(70) + " " + " ".join(edited)), (5, other), (6, text(49) + " " + " ".join(other.split()[:40])), (7, text(400)), (8, rows_ := text(120)), (9, rows_), (10, None), (11, ""), (None, shared), (12, text(30))]
+    got = {r["doc_id"]: r for r in passages.passage_dedup(frame(spark, rows)).collect()}
+    assert {k: v["class_id"] for k, v in got.items()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10, 11: 11, None: None, 12: 12}
+    assert (got[1]["first_word"], got[1]["last_word"]) == (200, 259) and got[3]["n_links"] == 0 and got[3]["first_word"] is None
+    assert passages.passage_dedup(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_no_exact_passage_is_missed(spark, sample):
+    rows = [(i, t) for i, t in {(i, t) for i, t in sample if i is not None and i != 9004}]
+    first, pairs = {}, set()
+    for i, t in sorted(rows, key=str):
+        w = words(t)
+        for p in range(len(w) - 49):
+            h = tuple(w[p : p + 50])
+            if first.setdefault(h, i) != i:
+                pairs.add((first[h], i))
+    got = {r["doc_id"]: r["class_id"] for r in passages.passage_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert pairs and all(got[a] == got[b] for a, b in pairs)
+
+
+def test_compact_windows_are_the_wide_ranges_of_the_tree():
+    rng = np.random.default_rng(1)
+    shingles = rng.integers(0, 2**63, 400).astype(np.uint64)
+    to = np.array([0, 150, 150, 400])
+    key, doc, l, c, r = passages.compact_windows(shingles, to, 2)
+    h = dartminhash.K.mix64(shingles ^ np.uint64(0x9E3779B97F4A7C15 * 3 % 2**64)) & np.uint64(0xFFFFFFFFFF000000)
+    want = set()
+
+    def grow(d, base, lo, hi):
+        if hi - lo + 1 >= passages.WINDOW:
+            m = lo + int(np.argmin(h[lo : hi + 1]))
+            want.add((d, lo - base, m - base, hi - base))
+            grow(d, base, lo, m - 1)
+            grow(d, base, m + 1, hi)
+
+    grow(0, 0, 0, 149)
+    grow(2, 150, 150, 399)
+    assert {tuple(map(int, x)) for x in zip(doc, l, c, r)} == want
+
+
+# --- 4
+
+
+def mixed(spark, rows, **kw):
+    return mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit(1)).withColumn("taken", F.lit(1)), **kw)
+
+
+def test_mix_keeps_to_its_contract(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 9 != 0, F.col("source")))
+    got = mixing.mix(docs).toPandas()
+    per = got.groupby(got["source_size"].astype(str) + "|" + got["target"].astype(str))
+    for _, g in per:
+        assert g["size"].sum() == g["source_size"].iloc[0]
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= max(mixing.BLOCK, 0.02 * g["target"].iloc[0])
+    assert (got["taken"] <= 3 * got["size"]).all() and (got["taken"] >= 0).all()
+    assert abs(sum(g["target"].iloc[0] for _, g in per) - got["size"].sum()) < 1e-3 * got["size"].sum()
+    again = mixing.mix(docs.repartition(7)).toPandas()
+    assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
+
+
+def test_mix_takes_awkward_rows(spark):
+    rows = [(1, None, "b"), (2, "", None), (3, "one two\x0bthree four five", "a"), (3, "one two\x0bthree four five", "a"), (None, "x " * 500, "Z"), (4, "y " * 10, None)]
+    got = mixed(spark, rows).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter([(1, 0), (2, 0), (3, 4), (3, 4), (None, 500), (4, 10)])
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert mixed(spark, rows[:0] or [(1, None, None)]).first()["taken"] == 0
+    assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    carried = mixed(spark, rows, carry=True)
+    assert set(carried.columns) == {"doc_id", "size", "source_size", "target", "taken", "text", "source"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_seats_go_to_the_highest_quotients(seed):
+    rng = np.random.default_rng(seed)
+    votes, seats = (rng.pareto(0.7, rng.integers(1, 30)) * 1000).tolist(), int(rng.integers(1, 500))
+    want = [0] * len(votes)
+    for _ in range(seats):
+        want[max(range(len(votes)), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
+    assert mixing.sainte_lague(votes, seats) == want
+
+
+def test_targets_fill_like_water():
+    assert mixing.targets([10, 1000, 1000], [5.0, 2.0, 1.0], 2010) == pytest.approx([30, 1320, 660])
+    assert mixing.targets([0, 0], [5.0, 2.0], 0) == [0, 0]
+
+
+# --- 5
+
+BENCH = [(1, "Alice bought 3 apples for 12 dollars and then 3 more apples from the market near her house"), (2, "The river runs past seven mills before it reaches the quiet sea at dawn"), (3, "too short"), (4, None), (None, "no id has this item at all")]
+
+
+def test_leaks_with_other_slots_are_caught_and_shuffled_ones_are_not(spark):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string").withColumn("doc_id", F.lit(5))
+    rows = [
+        (1, "Well. " + BENCH[0][1] + " indeed."), (2, "so Robert bought 8 apples for 40 euros and then 8 more apples from the market near her house ok"),
+        (3, "Robert bought 8 apples for 40 euros and then 9 more apples from the market near her house"), (4, "the river runs past eight mills before it reaches the quiet sea at dawn"),
+        (5, "the river runs past seven"), (6, None), (7, ""), (None, BENCH[1][1]), (8, "nothing here"), (1, "Well. " + BENCH[0][1] + " indeed."), (9, "THE RIVER RUNS PAST"),
+    ]
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, rows), bench).collect())
+    assert got[(1, 1)] == 2 and (2, 1) in got and (3, 1) not in got and got[(None, 2)] == 1 and (5, 2) not in got
+    assert set(got) <= {(1, 1), (2, 1), (4, 2), (None, 2)}
+    kept = decontaminate.clean(frame(spark, rows), bench)
+    assert kept.columns == frame(spark, rows).columns
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {k[0] for k in got}
+    assert decontaminate.leaks(frame(spark, rows).limit(0), bench).count() == 0 and decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_a_large_benchmark_is_searched_in_parts(spark, sf_dir, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 2000)
+    assert whole == Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
+    texts, items = dict(docs.select("doc_id", "text").collect()), dict(bench.select("item_id", "text").collect())
+    assert {(d, i) for d, t in texts.items() for i, b in items.items() if b in t} == set(whole)
+
+
+# --- 6
+
+
+def test_suffixes_agree_with_brute_force(spark, sample, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 60_000)
+    rows, first = sample, {}
+    id_ = lambda i: 2**63 - 1 if i is None else i
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(first.get(b[p : p + 50], 2**63), id_(i))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            gone[p : p + 50] |= first[b[p : p + 50]] < id_(i)
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want.append((i, len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest(), kept))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()]
+    assert Counter(got) == Counter(want)
+    assert suffix_dedup.suffix_dedup(frame(spark, rows).limit(0), texts=False).count() == 0
+
+
+# --- 7
+
+
+def test_licenses_agree_with_brute_force(spark, sample):
+    rows = sample + [(9100, "x\nReleased, under the MIT license! Under the mit LICENSE\ncc by nc\nCC BY-NC cc by nc"), (9101, "This WORK is licensed under the GNU general public license (version 3)."), (9102, "under the KIT license under\nthe mit license"), (9103, "unde r the mit license"), (9104, "mit under license")]
+    got = Counter(tuple(r) for r in licenses.scan(frame(spark, rows)).collect())
+    want = Counter()
+    for i, t in rows:
+        w = [x.decode() for x in words(t)]
+        places = [(p, label) for phrase, label in licenses.PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        met = {}
+        for line in (t or "").split("\n"):
+            have = {x.decode() for x in words(line)}
+            for _, label, need_words, need in licenses.template_sets():
+                if len(have & set(need_words)) >= need:
+                    met[label] = max(met.get(label, 0), len(have & set(need_words)) / len(need_words))
+        base = sorted({label for _, label in places})
+        at = [p for p, _ in places]
+        want[(i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *met})), 1.0 if at else max(met.values(), default=0.0))] += 1
+    assert got == want
+    assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
+
+
+# --- 8 and 10
+
+
+def labelled(spark, n=400):
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        w = list(rng.choice(vocabulary, int(rng.integers(10, 200))))
+        bad, junk = i % 4 == 0, i % 5 == 0
+        if bad:
+            for _ in range(3):
+                w.insert(int(rng.integers(0, len(w))), rng.choice(["vile", "horrid", "nasty"]))
+        rows.append((i, " ".join(x + "%%##" if junk else x for x in w)))
+        labels.append((i, int(not junk), int(bad)))
+    return rows, labels
+
+
+@pytest.mark.parametrize("module, run, label", [(quality, quality.quality, "quality"), (toxicity, toxicity.toxicity, "toxic")])
+def test_models_learn_from_rows_that_are_not_held_out(spark, module, run, label):
+    import zlib
+
+    rows, labels = labelled(spark)
+    lab = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None), (10**6, 1, 1)], "doc_id long, quality int, toxic int")
+    odd = [(5000, None), (5001, ""), (5002, "!?"), (5003, "long " * 50_000), (None, "nothing"), rows[0]]
+    df = frame(spark, rows + odd)
+    out = run(df, lab).collect()
+    assert len(out) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 for r in out)
+    assert all(r["predicted"] == int(r["score"] >= module.THRESHOLD) for r in out)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
+    truth = {d: (q if label == "quality" else t) for d, q, t in labels}
+    held = [(r["score"], truth[r["doc_id"]]) for r in out if r["held_out"] and r["doc_id"] in truth]
+    ones, zeros = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([a > b for a in ones for b in zeros]) > 0.9
+    # What held-out rows are labelled changes nothing.
+    flipped = lab.withColumn(label, F.when(common.held_out(), 1 - F.col(label)).otherwise(F.col(label)))
+    if module is quality:
+        assert sorted((str(r["doc_id"]), r["score"]) for r in run(df, flipped).collect()) == sorted((str(r["doc_id"]), r["score"]) for r in out)
+
+
+@pytest.mark.parametrize("run", [quality.quality, toxicity.toxicity])
+def test_models_without_labels_or_rows(spark, run):
+    df, none = frame(spark, [(1, "a b c"), (2, None)]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in run(df, none).collect()] == [0.5, 0.5]
+    assert run(df.limit(0), none).count() == 0
+
+
+def test_gradients_are_those_of_the_loss():
+    import pyarrow as pa
+
+    data, off = toxicity.K.text_buffer(pa.array(["alpha beta gamma delta", "beta beta vile words here and there " * 6]))
+    w = toxicity.Words(data, off)
+    net = toxicity.Network(np.unique(w.hash), np.zeros(len(np.unique(w.hash)) + 1), 0.5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    windows, y = np.arange(len(w.first)), np.array([1.0, 0.0, 1.0])[: len(w.first)]
+
+    def loss():
+        row, x = net.inputs(w)
+        logit = net.forward(net.projected(x), *w.places(windows))
+        return float((np.logaddexp(0, logit) - y * logit).mean())
+
+    got = net.gradients(w, *net.inputs(w), *w.places(windows), y)
+    rng = np.random.default_rng(0)
+    for name in ("wx", "wh", "wa", "va", "wo", "bo", "b"):
+        flat = net.p[name].reshape(-1)
+        for i in rng.integers(0, flat.size, 3):
+            old, e = flat[i], 1e-2
+            flat[i] = old + e
+            up = loss()
+            flat[i] = old - e
+            down = loss()
+            flat[i] = old
+            assert got[name].reshape(-1)[i] == pytest.approx((up - down) / (2 * e), abs=2e-3)
+
+
+def test_trees_fit_what_one_split_cannot():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    forest = quality.Forest(x[:1500], y[:1500])
+    assert ((forest.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+
+# --- 9
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_agree_with_brute_force(spark, sample):
+    rng = np.random.default_rng(4)
+    base = [f"t{v}" for v in rng.integers(0, 10**6, 300)]
+    rows = list(sample)
+    for i in range(40):
+        w = list(base)
+        for p in rng.integers(0, 300, i % 9):
+            w[p] = "edit%d" % rng.integers(0, 10**6)
+        rows.append((7000 + i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    ids = sorted(sets)
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(ids, pairs) | {None: None}
+    got = dartminhash.near_dedup(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["class_id"] for r in got} == want
+    assert dartminhash.near_dedup(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_large_buckets_compared_in_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(dartminhash, "PAIRED", 2)
+    monkeypatch.setattr(dartminhash, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(6)
+    base, rows = [f"t{v}" for v in rng.integers(0, 10**6, 200)], []
+    for i in range(60):
+        w = list(base)
+        for p in rng.integers(0, 200, 6):
+            w[p] = "e%d" % rng.integers(0, 10**6)
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()} == roots(sets, pairs)
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_signatures_estimate_the_similarity(counted):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    a = [f"t{v}" for v in rng.integers(0, 40, 3000)]
+    b = a[:2200] + [f"u{v}" for v in rng.integers(0, 40, 500)]
+    data, off = toxicity.K.text_buffer(pa.array([" ".join(a), " ".join(b), "", "one"]))
+    cells, to = dartminhash.cells_of(data, off, counted)
+    x, y = (set(cells[to[i] : to[i + 1]].tolist()) for i in (0, 1))
+    sig = dartminhash.signatures(cells, to)
+    assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.2 and not sig[2].any() and sig[3].all()
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (201, 200), (200, 201)]
+    got = {r["node"]: r["class_id"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
