@@ -50,8 +50,14 @@ def decode(streams: list[np.ndarray], first: np.ndarray, sizes: np.ndarray, mode
     table[0] = np.asarray(first)[order]
     coder, state = Decoder([streams[i] for i in order]), model.start(len(order))
     active = np.searchsorted(-ordered, -np.arange(int(ordered[0])), "left")
+    counted = getattr(model, "cdf", None)
     for t in range(1, int(ordered[0])):
         n = int(active[t])
+        if counted is not None:
+            row = model.rows(table[t - 1, :n])
+            table[t, :n] = symbol = model.find(row, coder.target(n))
+            coder.step(n, counted[row, symbol], counted[row, symbol + 1])
+            continue
         bounds = model.bounds(state, table[t - 1, :n])
         target = coder.target(n)
         symbol = _find(bounds, target)
@@ -75,6 +81,12 @@ def _find(bounds: np.ndarray, target: np.ndarray) -> np.ndarray:
     return lo
 
 
+def spread(chunks: DataFrame) -> DataFrame:
+    """Chunk rows dealt over all cores where fewer tasks than cores would hold them: coding costs far more than moving the bytes."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
+
+
 def compress(chunks: DataFrame, model, data: str = "data") -> DataFrame:
     """Chunk rows with n, first_byte and stream (32-bit words, little-endian) in place of their bytes; empty chunks have no first byte."""
     others = [f for f in chunks.schema.fields if f.name != data]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.scalars import fingerprint
 from ..operators.counts import byte_counts, pair_counts
-from .coder import integer_cdf
+from .coder import PRECISION, integer_cdf
 
 
 class CountModel:
@@ -25,6 +25,9 @@ class CountModel:
         self.counts = np.asarray(counts, np.int64)
         self.symbols = self.counts.shape[1]
         self.cdf = integer_cdf(self.counts + 1)
+        # The symbol at each 1/256 of the range: where a search for a target begins and ends.
+        marks = np.arange(257, dtype=np.uint64) << np.uint64(PRECISION - 8)
+        self.marks = np.stack([np.minimum(np.searchsorted(row, marks, "right") - 1, self.symbols - 1) for row in self.cdf])
 
     def start(self, lanes: int):
         return None
@@ -35,6 +38,19 @@ class CountModel:
     def bounds(self, state, previous: np.ndarray) -> np.ndarray:
         return self.cdf[self.rows(previous)]
 
+    def find(self, row: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The symbol whose interval holds each target, in the given contexts."""
+        mark = (target >> np.uint64(PRECISION - 8)).astype(np.int64)
+        lo, hi = self.marks[row, mark], self.marks[row, mark + 1] + 1
+        while True:
+            open_ = np.flatnonzero(hi - lo > 1)
+            if not len(open_):
+                return lo
+            a, b = lo[open_], hi[open_]
+            middle = (a + b) >> 1
+            right = self.cdf[row[open_], middle] <= target[open_]
+            lo[open_], hi[open_] = np.where(right, middle, a), np.where(right, b, middle)
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.save(out, self.counts)

@@ -160,3 +160,14 @@ def lanes_for(memory_bytes: int, d_model: int, layers: int, symbols: int = 256,
     while chunk > 256 and lanes * (each + chunk * 8) > 0.9 * memory_bytes:
         chunk //= 2
     return lanes, chunk
+
+
+def reproducible_exp(x: np.ndarray) -> np.ndarray:
+    """exp in single precision by range reduction and a degree-6 polynomial, from elementary operations only: the same on every machine."""
+    x = np.clip(np.asarray(x, F32), F32(-88), F32(88))
+    k = np.rint(x * F32(1 / math.log(2)))
+    r = x - k * F32(0.693359375) + k * F32(2.12194440e-4)
+    p = F32(1 / 720)
+    for c in (1 / 120, 1 / 24, 1 / 6, 1 / 2, 1, 1):
+        p = p * r + F32(c)
+    return np.ldexp(p, k.astype(np.int32))

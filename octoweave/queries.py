@@ -347,7 +347,7 @@ def _compressed(spark, sf_dir, order=1):
     docs = documents(spark, sf_dir)
     model = train_counts(docs, order)
     rows = chunks.chunk_ranges(chunks.chunk_plan(docs, seq_size=4096)).select("doc_id", "chunk_id", chunks.chunk_slice().alias("data"))
-    return codec.compress(rows, model), model
+    return codec.compress(codec.spread(rows), model), model
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents WHERE strlen(text) > 0")
@@ -376,7 +376,7 @@ def container_roundtrip(spark, sf_dir):
     width = rows.select(F.max(F.length("data"))).first()[0]
     model = train_counts(rows)
     path = os.path.join(_shared(spark), f"container-{uuid.uuid4().hex}")
-    container.save(codec.compress(rows, model), path, width, model.fingerprint)
+    container.save(codec.compress(container.ranged(rows, 8), model), path, width, model.fingerprint)
     back = codec.decompress(container.load(spark, path, fingerprint=model.fingerprint.hex()), model)
     flat = records.flat_records(back.select(F.col("chunk_id").cast("long").alias("vec_id"), "data"), [f"c{i}" for i in range(width // 4)], key="vec_id")
     return flat.select("vec_id", F.posexplode(F.array(*(F.col(f"c{i}") for i in range(4)))).alias("col", "value"))
@@ -387,7 +387,7 @@ def container_metadata(spark, sf_dir):
     rows = records.packed_records(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("chunk_id"), "embedding"), "embedding")
     width = rows.select(F.max(F.length("data"))).first()[0]
     model, path = train_counts(rows, order=0), os.path.join(_shared(spark), f"container-{uuid.uuid4().hex}")
-    container.save(codec.compress(rows, model), path, width, model.fingerprint)
+    container.save(codec.compress(container.ranged(rows, 8), model), path, width, model.fingerprint)
     return container.metadata(spark, path)
 
 

@@ -199,12 +199,16 @@ class ContainerSource(DataSource):
         return _Writer(self.options, overwrite)
 
 
-def save(chunks: DataFrame, path: str, chunk_len: int, fingerprint: bytes = b"", vocabulary: bytes = b"", parts: int = 8) -> None:
-    """Writes compressed chunk rows of one source as a folder of containers, by ranges of chunk_id."""
-    spark = chunks.sparkSession
-    spark.dataSource.register(ContainerSource)
-    ranged = chunks.select("chunk_id", "n", "first_byte", "stream").repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
-    ranged.write.format("chunk_container").mode("append").options(path=path, chunkLen=chunk_len, fingerprint=fingerprint.hex(), vocabulary=vocabulary.hex()).save()
+def ranged(chunks: DataFrame, parts: int) -> DataFrame:
+    """Chunk rows in as many ranges of chunk_id, each in order. Before compression, so that finding the ranges compresses nothing."""
+    return chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
+
+
+def save(chunks: DataFrame, path: str, chunk_len: int, fingerprint: bytes = b"", vocabulary: bytes = b"") -> None:
+    """Writes compressed rows of one source, whose chunks were ``ranged``, as a folder of containers: one for each range."""
+    chunks.sparkSession.dataSource.register(ContainerSource)
+    rows = chunks.select("chunk_id", "n", "first_byte", "stream").write.format("chunk_container").mode("append")
+    rows.options(path=path, chunkLen=chunk_len, fingerprint=fingerprint.hex(), vocabulary=vocabulary.hex()).save()
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
