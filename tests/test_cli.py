@@ -19,10 +19,11 @@ def test_the_whole_way(spark, tmp_path):
     assert {r["codec"] for r in base} == {"zlib", "lzma"}
 
 
-def test_a_configuration_names_the_file(spark, tmp_path):
+def test_a_configuration_names_the_file(spark, tmp_path, monkeypatch):
     (tmp_path / "in.bin").write_bytes(b"abc" * 1000)
     (tmp_path / "c.yaml").write_text(json.dumps({"file_path": str(tmp_path / "in.bin"), "compression": {"seq_size": 500}}))
-    said = cli.main(["--config", str(tmp_path / "c.yaml"), "--train-only"], spark) or {}
+    monkeypatch.chdir(tmp_path)
+    said = cli.main(["--config", str(tmp_path / "c.yaml"), "--train-only"], spark)
     assert "ratio" not in said
 
 
