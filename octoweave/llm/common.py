@@ -32,6 +32,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*written: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote and nothing reads any more."""
+    for df in written:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -55,12 +64,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialise(edges, "edges")
     state = _edge_state(edges)
     while state[0]:
+        start = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         kept = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(kept.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = start, materialise(kept.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(old)
         new = _edge_state(edges)
         if new == state:
             break

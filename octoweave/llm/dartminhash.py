@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import components, materialise
+from .common import components, drop, materialise
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -228,7 +228,8 @@ def near_links(docs: DataFrame, counted: bool = False) -> tuple[DataFrame, DataF
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "doc_id", "class_id")
     signs = reps.join(some.groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ = 1"), "doc_id", "left_semi").select("doc_id", "bands", "sig")
     blocks = many.join(signs, "doc_id").join(cells, "doc_id").groupBy("band", "p", "q").applyInArrow(_block_links, "a long, b long, similarity double")
-    links = materialise(links.unionByName(more).unionByName(blocks), "links")
+    first, links = links, materialise(links.unionByName(more).unionByName(blocks), "links")
+    drop(first, members, mixed, cells)
     return signed, copies, links
 
 

@@ -54,7 +54,7 @@ def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,18 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
+OP9_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM documents d LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def _op7_sql() -> str:
     templates = ", ".join(f"({i}, '{label}', {words!r}, {need})" for i, label, words, need in template_sets())
     phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES.items())
@@ -131,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_windows": OP2_SQL,
         "op6_suffix_dedup": OP6_SQL,
         "op7_license_join": _op7_sql(),
+        "op9_dartminhash": OP9_SQL.format(upper=UPPER, lower=LOWER),
     }
