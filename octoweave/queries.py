@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import baselines, chunks, compare, counts, index, metrics, records, splits
+from .operators import baselines, chunks, compare, counts, index, metrics, records, recurrent, splits
 from .plans import codec
 from .plans.coder import TOTAL
 from .plans.predictor import train_counts
@@ -522,6 +522,65 @@ def struct_compare(spark, sf_dir):
     return compare.compare_records(a, b, ["o_orderkey"])
 
 
+# --- ordered operators and array forms
+
+
+@query("SELECT event_id, round(0.1::DOUBLE * coalesce(lag(value, 3) OVER w, 0) + 0.2::DOUBLE * coalesce(lag(value, 2) OVER w, 0) + 0.3::DOUBLE * coalesce(lag(value, 1) OVER w, 0) + 0.4::DOUBLE * coalesce(value, 0) + 1, 6) AS conv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def causal_convolution(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return recurrent.causal_convolution(rows, "user_id", "event_id", "value", [0.1, 0.2, 0.3, 0.4], 1.0).select("event_id", F.round("conv", 6).alias("conv"))
+
+
+@query("SELECT vec_id, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda v: v::DOUBLE)), lambda h, x: exp(-0.5::DOUBLE) * h + 0.25::DOUBLE * x), 9) AS state FROM embeddings")
+def state_recurrence(spark, sf_dir):
+    values = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(recurrent.recurrence(values, F.exp(F.lit(-0.5)), F.lit(0.25)), 9).alias("state"))
+
+
+@query(f"WITH {MODEL}, x AS (SELECT rk, CAST(sum(n) AS BIGINT) AS n FROM o WHERE split = 'test' GROUP BY rk) SELECT CAST(rk AS INT) AS rank, n, CAST(sum(n) OVER (ORDER BY rk) AS BIGINT) AS within FROM x")
+def rank_histogram(spark, sf_dir):
+    """Positions by the rank of their true byte, and how many are at that rank or better (at most 256 rows)."""
+    per = outcome_rows(spark, sf_dir).where("split = 'test'").groupBy("rank").agg(F.sum("n").alias("n"))
+    other = per.select(F.col("rank").alias("r"), F.col("n").alias("m"))
+    return per.join(F.broadcast(other), F.col("r") <= F.col("rank")).groupBy("rank", "n").agg(F.sum("m").alias("within")).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query(f"WITH {BYTES} SELECT byte, n FROM (SELECT byte, count(*) AS n FROM b GROUP BY byte ORDER BY n DESC, byte LIMIT 20)")
+def top_bytes(spark, sf_dir):
+    """The twenty commonest bytes, then in order of value."""
+    rows = counts.byte_counts(documents(spark, sf_dir)).withColumnRenamed("byte", "y")
+    return metrics.top_classes(rows, 20).select(F.col("y").alias("byte"), F.col("support").alias("n")).orderBy("byte")
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_id, md5(unhex(substr(h, CAST(2 * \"offset\" + 1 AS INT), CAST(2 * chunk_bytes AS INT)))) AS digest FROM c")
+def payload_slices(spark, sf_dir):
+    """The index joined to the payload by offset and length."""
+    docs = documents(spark, sf_dir)
+    entries = index.offsets(_chunk_rows(spark, sf_dir).select("doc_id", "chunk_id", "chunk_bytes"), "doc_id", "chunk_bytes")
+    return entries.join(docs.select("doc_id", "data"), "doc_id").select("doc_id", "chunk_id", F.md5(index.payload_slice(F.col("data"), F.col("offset"), F.col("chunk_bytes"))).alias("digest"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS n, embedding[2] AS first, embedding[1] AS second FROM embeddings")
+def stack_and_flatten(spark, sf_dir):
+    """Fields side by side along the last axis, flattened row by row."""
+    half = F.flatten(F.transform("embedding", lambda v: F.array(v)))
+    swapped = F.concat(F.slice(half, 2, 1), F.slice(half, 1, 1), F.slice(half, F.lit(3), F.size(half)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(swapped).alias("n"), F.get(swapped, F.lit(0)).alias("first"), F.get(swapped, F.lit(1)).alias("second"))
+
+
+@query("SELECT CAST(max(c) AS INT) AS most, CAST(min(c) AS INT) AS least, CAST(sum(c) AS BIGINT) AS total FROM (SELECT count(*) AS c FROM conversations GROUP BY conv_id)")
+def list_lengths(spark, sf_dir):
+    """Lengths of jagged rows: turns of conversations."""
+    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("t")).select(F.size("t").alias("c"))
+    return n.agg(F.max("c").alias("most"), F.min("c").alias("least"), F.sum("c").alias("total"))
+
+
+@query("SELECT k AS n, round(CASE WHEN k > 0 THEN 8.0::DOUBLE / k ELSE CAST('inf' AS DOUBLE) END, 9) AS ratio, round(k / ln(2::DOUBLE), 9) AS bits FROM range(20) t(k)")
+def ratio_and_bits(spark, sf_dir):
+    k = F.col("id").cast("double")
+    return spark.range(20).select(F.col("id").alias("n"), F.round(S.ratio_of_bits(k), 9).alias("ratio"), F.round(S.bits(k), 9).alias("bits"))
+
+
 # --- names
 
 
