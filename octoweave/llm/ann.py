@@ -2,7 +2,7 @@
 
 Codes: the vectors are centred and rotated (iterative quantisation, fitted on at most FIT_ROWS vectors, those of least hashed id),
 and each coordinate's sign is a bit. The Hamming radius is the least one that holds SHARE of the true neighbours within that same
-sample; a larger table's neighbours are nearer, so the share found there is higher.
+sample; a larger table's neighbours are nearer, so the share found there is higher. Queries that find fewer than k look again at all.
 
 Index: every distinct vector, once, in blocks of at most BLOCK_ROWS; a class of equal vectors keeps the smallest ids that a query can
 ask for, k + 1, and the first of them holds its place. Each block indexes the substrings of its codes. If two codes differ in r bits,
@@ -13,12 +13,15 @@ The queries, a stated share of the rows, meet the index in blocks; nothing is br
 meeting returns the k best, which a ranked window reduces before it shuffles.
 
 Defined results: vectors that are null, zero, of another length than the most common one, or hold null or non-finite components, and rows
-without an id, take no part; rows that repeat an id and a vector count once; if there are fewer candidates than k, all are returned;
+without an id, take no part; rows that repeat an id and a vector count once, and those that
+repeat an id with other vectors are asked and answered under it together; if there are fewer candidates than k, all are returned;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -58,6 +61,12 @@ class Codebook:
             apart = hamming(self.codes(asked)[:, None], code[best])
             self.radius = int(np.ceil(np.quantile(apart, SHARE)))
 
+    def wide(self) -> Codebook:
+        """The same codes with a radius that holds every code."""
+        out = copy.copy(self)
+        out.radius = self.bits
+        return out
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         """(rows, substrings) bytes."""
         return np.packbits((x - self.mean) @ self.turn > 0, axis=1)
@@ -173,9 +182,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     index = index.select(F.pmod(F.xxhash64("class_key"), F.lit(blocks)).alias("block"), F.col("class_key").alias("class_id"), "vec_id", "vector").groupBy("block").applyInArrow(_pack(dim), _RAW)
     index = materialise(index, "index")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    asked = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // every // QUERY_ROWS)))).alias("block"), F.col("vec_id").cast("string").alias("class_id"), "vec_id", "vector")
-    asked = asked.groupBy("block").applyInArrow(_pack(dim), _RAW).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = index.join(asked.repartition(F.col("block"), F.xxhash64("q_ids")), "block") if blocks == 1 else index.join(asked, "block")
-    found = met.select("ids", "classes", "vectors", "q_ids", "q_vectors").mapInArrow(_search(book, dim, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(asked: DataFrame, book: Codebook) -> DataFrame:
+        asked = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // every // QUERY_ROWS)))).alias("block"), F.concat_ws("|", F.col("vec_id").cast("string"), "class_key").alias("class_id"), "vec_id", "vector")
+        asked = asked.groupBy("block").applyInArrow(_pack(dim), _RAW).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("long"))).alias("block"))
+        met = index.join(asked.repartition(F.col("block"), F.xxhash64("q_ids")), "block") if blocks == 1 else index.join(asked, "block")
+        found = met.select("ids", "classes", "vectors", "q_ids", "q_vectors").mapInArrow(_search(book, dim, k), "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = materialise(search(asked, book), "near")
+    # Queries with too few codes within the radius, far from everything, look at every code.
+    full = near.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
+    short = materialise(asked.join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return near
+    return near.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*near.columns).unionByName(search(short, book.wide()))

@@ -84,7 +84,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY c1, c2, c3 ORDER BY doc_id, p) A
 g AS (SELECT DISTINCT doc_id, unnest([l1, l2, l3]) AS line FROM o WHERE nth > 1),
 k AS (SELECT l.doc_id, count(*) FILTER (trim(raw) <> '') AS n_lines, count(g.line) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS kept
       FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
-SELECT d.doc_id, k.n_lines, k.n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE md5(k.kept) END AS kept_md5 FROM documents d JOIN k USING (doc_id)
+SELECT d.doc_id, CAST(k.n_lines AS INT) AS n_lines, CAST(k.n_removed AS INT) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE md5(k.kept) END AS kept_md5 FROM documents d JOIN k USING (doc_id)
 """
 
 

@@ -77,6 +77,14 @@ def test_nearest_breaks_ties_and_leaves_bad_vectors_out(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_far_queries_still_get_all_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARE", 0.0)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) + 5 * (i % 2)).tolist()) for i in range(300)] + [(1000, [-50.0] * 8)]
+    got = Counter(r["query_id"] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == {q: 20 for q in [*range(0, 300, 20), 1000]}
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 256, (500, 8)).astype(np.uint8)
