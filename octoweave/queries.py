@@ -215,13 +215,13 @@ def unseen_bytes_anti(spark, sf_dir):
 BUDGET = 1_000_000
 
 
-@query(f"SELECT doc_id, n_bytes, least(n_bytes, {BUDGET} - before) AS kept FROM (SELECT doc_id, strlen(text) AS n_bytes, sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS before FROM documents WHERE strlen(text) > 0) WHERE before < {BUDGET}")
+@query(f"SELECT doc_id, n_bytes, CAST(least(n_bytes, {BUDGET} - before) AS BIGINT) AS kept FROM (SELECT doc_id, strlen(text) AS n_bytes, sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS before FROM documents WHERE strlen(text) > 0) WHERE before < {BUDGET}")
 def byte_budget_prefix(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "n_bytes")
     return records.byte_budget(docs, F.floor(F.col("doc_id") / 10000), ["doc_id"], "n_bytes", BUDGET)
 
 
-@query(f"SELECT doc_id, n_bytes, least(n_bytes, {BUDGET} - before) AS kept FROM (SELECT doc_id, strlen(text) AS n_bytes, sum(strlen(text)) OVER (ORDER BY md5('7|' || doc_id), doc_id) - strlen(text) AS before FROM documents WHERE strlen(text) > 0) WHERE before < {BUDGET}")
+@query(f"SELECT doc_id, n_bytes, CAST(least(n_bytes, {BUDGET} - before) AS BIGINT) AS kept FROM (SELECT doc_id, strlen(text) AS n_bytes, sum(strlen(text)) OVER (ORDER BY md5('7|' || doc_id), doc_id) - strlen(text) AS before FROM documents WHERE strlen(text) > 0) WHERE before < {BUDGET}")
 def sample_seeded(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "n_bytes", F.md5(F.concat(F.lit("7|"), F.col("doc_id").cast("string"))).alias("turn"))
     return records.byte_budget(docs, F.substring("turn", 1, 3), ["turn", "doc_id"], "n_bytes", BUDGET).drop("turn")
@@ -453,7 +453,7 @@ def column_histogram(spark, sf_dir):
     return records.column_histogram(cells, records.column_ranges(cells), 20)
 
 
-@query("SELECT CASE c WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS \"column\", n, CASE WHEN c = 0 THEN n ELSE n - bad END AS n_equal, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS max_residual, c = 0 OR bad = 0 AS equal FROM (SELECT count(*) AS n, sum(CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END) AS bad FROM embeddings), range(2) t(c)")
+@query("SELECT CASE c WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS \"column\", n, CAST(CASE WHEN c = 0 THEN n ELSE n - bad END AS BIGINT) AS n_equal, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS max_residual, c = 0 OR bad = 0 AS equal FROM (SELECT count(*) AS n, sum(CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END) AS bad FROM embeddings), range(2) t(c)")
 def bit_exact(spark, sf_dir):
     a = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("double").alias("x"), (F.col("vec_id") * 2.0).alias("y"))
     b = a.withColumn("y", F.when(F.col("vec_id") % 10 == 0, F.col("y") + 0.5).otherwise(F.col("y")))
@@ -501,7 +501,7 @@ def jagged_unpad_roundtrip(spark, sf_dir):
     return records.unpadded(records.padded(events, meta, "user_id"), meta, "user_id")
 
 
-@query(f"WITH {JAGGED}, c AS (SELECT count(*) AS n, sum(CASE WHEN user_id % 7 = 0 AND len(vals) > 0 THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN len(high) > 0 AND user_id % 11 = 0 THEN 1 ELSE 0 END) AS cut FROM j) SELECT 'vals' AS \"column\", CASE WHEN bad > 0 THEN 'values differ' ELSE 'ok' END AS status, n, bad AS n_bad FROM c UNION ALL SELECT 'high', CASE WHEN cut > 0 THEN 'lengths differ' ELSE 'ok' END, n, cut FROM c")
+@query(f"WITH {JAGGED}, c AS (SELECT count(*) AS n, sum(CASE WHEN user_id % 7 = 0 AND len(vals) > 0 THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN len(high) > 0 AND user_id % 11 = 0 THEN 1 ELSE 0 END) AS cut FROM j) SELECT 'vals' AS \"column\", CASE WHEN bad > 0 THEN 'values differ' ELSE 'ok' END AS status, n, CAST(bad AS BIGINT) AS n_bad FROM c UNION ALL SELECT 'high', CASE WHEN cut > 0 THEN 'lengths differ' ELSE 'ok' END, n, CAST(cut AS BIGINT) FROM c")
 def jagged_compare(spark, sf_dir):
     a = _events(spark, sf_dir)
     b = a.select("user_id", F.when(F.col("user_id") % 7 == 0, F.transform("vals", lambda v: v + 1)).otherwise(F.transform("vals", lambda v: v * (1 + 1e-7))).alias("vals"), F.when((F.col("user_id") % 11 == 0) & (F.size("high") > 0), F.slice("high", F.lit(1), F.size("high") - 1)).otherwise(F.col("high")).alias("high"))
