@@ -54,7 +54,8 @@ def typed_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     token = K.span_hashes(data, starts, ends)
     first, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
     kind = np.zeros(len(token), np.int8)
-    kind[_UPPER[first] | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (ends - starts > 1))] = 2
+    capital = _UPPER[first] & ~(_UPPER[second] & (ends - starts > 1))  # words all in capitals are plain
+    kind[capital | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (ends - starts > 1))] = 2
     kind[_among(token, _hashes(UNITS))] = 3
     kind[_DIGIT[first] | _among(token, _hashes(NUMBER_WORDS))] = 1
     return token, kind, at

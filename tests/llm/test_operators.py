@@ -228,11 +228,12 @@ def test_leaks_with_other_slots_are_caught_and_shuffled_ones_are_not(spark):
     rows = [
         (1, "Well. " + BENCH[0][1] + " indeed."), (2, "so Robert bought 8 apples for 40 euros and then 8 more apples from the market near her house ok"),
         (3, "Robert bought 8 apples for 40 euros and then 9 more apples from the market near her house"), (4, "the river runs past eight mills before it reaches the quiet sea at dawn"),
-        (5, "the river runs past seven"), (6, None), (7, ""), (None, BENCH[1][1]), (8, "nothing here"), (1, "Well. " + BENCH[0][1] + " indeed."), (9, "THE RIVER RUNS PAST"),
+        (5, "the river runs past seven"), (6, None), (7, ""), (None, BENCH[1][1]), (8, "nothing here"), (1, "Well. " + BENCH[0][1] + " indeed."), (9, "THE RIVER RUNS PAST"), (10, BENCH[1][1].upper()), (11, BENCH[1][1].lower()),
     ]
     got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, rows), bench).collect())
     assert got[(1, 1)] == 2 and (2, 1) in got and (3, 1) not in got and got[(None, 2)] == 1 and (5, 2) not in got
-    assert set(got) <= {(1, 1), (2, 1), (4, 2), (None, 2)}
+    assert (10, 2) in got and (11, 2) in got
+    assert set(got) <= {(1, 1), (2, 1), (4, 2), (None, 2), (10, 2), (11, 2)}
     kept = decontaminate.clean(frame(spark, rows), bench)
     assert kept.columns == frame(spark, rows).columns
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {k[0] for k in got}
