@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from ..functions.scalars import read_uvarint, uvarint
 
+# Fixed values of the format; a reader of other files of this layout names their magic.
 MAGIC, VERSION, MARK, HAS_VOCABULARY = b"OWC1", 1, b"IDX1", 1
 _HEAD = struct.Struct("<4sIIQIIIB")
 
