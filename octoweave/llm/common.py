@@ -58,7 +58,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, class_id) for each node of the links a-b; class_id is the smallest node of its connected group.
 
     Alternating large-star and small-star steps, each an aggregation and a join whose skew adaptive execution splits; every round
-    is written to the shared folder. A star around one hub stays linear: no step pairs the hub's neighbours.
+    is written to the shared folder. A star around one hub stays linear: no step pairs the hub's neighbours. Least neighbours are
+    written before they are joined: a join straight onto an aggregation by the same key could not be split where a key is hot.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "edges")
@@ -66,12 +67,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while state[0]:
         start = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        edges = both.join(large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = materialise(edges, "edges")
+        low = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         kept = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, edges = start, materialise(kept.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        drop(old)
+        old, edges = edges, materialise(kept.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(start, large, old, low)
         new = _edge_state(edges)
         if new == state:
             break

@@ -200,15 +200,17 @@ def near_links(docs: DataFrame, counted: bool = False) -> tuple[DataFrame, DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     signed = materialise(docs.mapInArrow(_sign(counted), "doc_id long, k1 long, k2 long, n int, bands array<long>, sig binary"), "signed")
     some = signed.where("n > 0")
-    stands = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # Aggregations are written before they are joined by their own key, so that adaptive execution can split a hot key's join.
+    stands = materialise(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "stands")
     copies = materialise(some.select("doc_id", "k1", "k2").join(stands, ["k1", "k2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "copies")
     reps = some.join(stands.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("band")).distinct()
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    sizes = materialise(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     # The document that shares most buckets with others is likeliest to be what its neighbours were made from.
     central = buckets.join(sizes, "band").groupBy("doc_id").agg(F.sum("c").alias("central"))
     held = buckets.join(sizes.select("band"), "band", "left_semi").join(central, "doc_id")
-    hubs = held.groupBy("band").agg(F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("hub"))
+    held = materialise(held, "held")
+    hubs = materialise(held.groupBy("band").agg(F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("hub")), "hubs")
     buckets = held.select("band", "doc_id")
     members = materialise(buckets.join(hubs, "band"), "members")
     cells = docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_cells(counted), "doc_id long, cells binary")
@@ -229,7 +231,7 @@ def near_links(docs: DataFrame, counted: bool = False) -> tuple[DataFrame, DataF
     signs = reps.join(some.groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ = 1"), "doc_id", "left_semi").select("doc_id", "bands", "sig")
     blocks = many.join(signs, "doc_id").join(cells, "doc_id").groupBy("band", "p", "q").applyInArrow(_block_links, "a long, b long, similarity double")
     first, links = links, materialise(links.unionByName(more).unionByName(blocks), "links")
-    drop(first, members, mixed, cells)
+    drop(first, members, mixed, cells, held, hubs, sizes)
     return signed, copies, links
 
 

@@ -3,7 +3,8 @@
 Lines that are not blank are numbered within their document; each three consecutive ones are a window, known by two 64-bit hashes of
 its trimmed lines. A window's first occurrence in the corpus is the one in the smallest document, then the smallest place; every
 later occurrence covers its three lines, and covered lines go, overlaps merged. First occurrences come from a partial aggregation
-before the shuffle, later ones from a join with the repeated windows alone, whose skew adaptive execution splits.
+before the shuffle, later ones from a join with the repeated windows alone. Those are written first: a join straight onto an aggregation
+by the same key could not be split by adaptive execution where a window is hot.
 
 Defined results: documents order by doc_id, null last, then by a hash of the text; rows equal in both are one occurrence and lose the
 same lines; null text counts as empty and stays null if nothing goes; blank lines are in no window and stay; texts of fewer than three
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 LINES = 3
 
 
@@ -37,7 +40,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 def covered_lines(docs: DataFrame) -> DataFrame:
     """(id_, k_, gone): the numbers of the lines that go, for each document that loses some."""
     windows = _windows(docs)
-    repeated = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialise(windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     later = windows.join(repeated, ["h1", "h2"]).where("at > first")
     return later.groupBy(F.col("at.id").alias("id_"), F.col("at.k").alias("k_")).agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("gone"))
 
