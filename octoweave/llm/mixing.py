@@ -3,7 +3,8 @@
 Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating, and share the corpus's size; a target stops at REPEATS
 times its source's size, and the excess is shared by weight among the rest until none is above (water filling).
 
-Quotas: the corpus is worth so many blocks of BLOCK words; each goes to the source with the highest quotient target / (2 seats + 1).
+Quotas: the corpus is worth so many blocks of BLOCK words (of fewer in a corpus of under LEAST_BLOCKS such blocks, so that shares stay
+fine); each goes to the source with the highest quotient target / (2 seats + 1).
 A source's seats are dealt to its shards in the same way, by the shards' sizes; shards hold about SHARD words, so that a source of
 any size is many shards and no window grows with it. A shard's quota of words is taken in whole passes over the shard, and the
 rest from its blocks in a seeded order: the documents stand in the order of a seeded hash, and the first blocks are taken.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
-BLOCK, SHARD, SEED = 64, 1 << 20, 17
+BLOCK, LEAST_BLOCKS, SHARD, SEED = 64, 4096, 1 << 20, 17
 MAX_SOURCES = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,27 +68,27 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return got
 
 
-def _deal(block: int):
+def _deal():
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
         quota = sainte_lague(rows["shard_size"].tolist(), int(rows["seats"].iloc[0]))
-        return pd.DataFrame({"source_key": rows["source_key"], "shard": rows["shard"], "shard_size": rows["shard_size"], "quota": [q * block for q in quota]})
+        return pd.DataFrame({"source_key": rows["source_key"], "shard": rows["shard"], "shard_size": rows["shard_size"], "quota": [q * int(b) for q, b in zip(quota, rows["block_words"])]})
 
     return deal
 
 
 def plan(sized: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """(source_key, source_size, target, seats, shards) of each source."""
+    """(source_null, source_key, source_size, target, seats, shards, block_words) of each source."""
     per = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: name coarser ones")
     per = sorted(((r.source, r.n or 0) for r in per), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
     sizes = [n for _, n in per]
     goal = targets(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(per))], sum(sizes), repeats)
-    # A document is repeated `repeats` times at most, so a source that stops there has that many words and not a block more.
-    seats = sainte_lague(goal, round(sum(goal) / block))
-    rows = [(s is None, s or "", n, t, k, max(1, -(-n // SHARD))) for (s, n), t, k in zip(per, goal, seats)]
-    return sized.sparkSession.createDataFrame(rows, "source_null boolean, source_key string, source_size long, target double, seats long, shards long")
+    block = max(1, min(block, sum(sizes) // LEAST_BLOCKS))
+    seats = sainte_lague(goal, sum(sizes) // block)  # targets add up to all sizes
+    rows = [(s is None, s or "", n, t, k, max(1, -(-n // SHARD)), block) for (s, n), t, k in zip(per, goal, seats)]
+    return sized.sparkSession.createDataFrame(rows, "source_null boolean, source_key string, source_size long, target double, seats long, shards long, block_words long")
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = REPEATS, carry: bool = False) -> DataFrame:
@@ -95,15 +96,15 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = RE
     other columns of ``docs`` as well."""
     own = ["doc_id", "size", "source_size", "target", "taken"]
     others = [c for c in docs.columns if c not in own] if carry else []
-    turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5("text")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select("doc_id", "source", size.alias("size"), turn.alias("turn"), *([F.struct(*others).alias("row_")] if others else []))
     keyed = sized.withColumns({"source_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))}).drop("source")
     # at most MAX_SOURCES rows of a name and five numbers
     placed = keyed.join(F.broadcast(plan(sized, block, repeats)), ["source_null", "source_key"])
     placed = placed.withColumn("source_key", F.concat(F.col("source_null").cast("string"), F.col("source_key"))).withColumn("shard", F.pmod(F.xxhash64("turn"), "shards"))
-    shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
-    quotas = shards.groupBy("source_key").applyInPandas(_deal(block), "source_key string, shard long, shard_size long, quota long")
+    shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"), F.first("block_words").alias("block_words"))
+    quotas = shards.groupBy("source_key").applyInPandas(_deal(), "source_key string, shard long, shard_size long, quota long")
     turns = Window.partitionBy("source_key", "shard").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dealt = placed.join(quotas.hint("merge"), ["source_key", "shard"]).withColumn("before", F.sum("size").over(turns) - F.col("size"))
     quota = F.least(F.col("quota"), F.col("shard_size") * repeats)

@@ -61,6 +61,24 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
+#: For sources of one shard each, a million words; larger ones are dealt to shards by a hash that SQL does not have.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws('|', '17', doc_id, md5(text))) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(i - 1) % 3 + 1] AS w, CAST(sum(n) OVER () AS BIGINT) AS t, greatest(1, least(64, CAST(sum(n) OVER () AS BIGINT) // 4096)) AS blk FROM s),
+c AS (SELECT *, 3 * n / CAST(w AS DOUBLE) AS cap FROM w WHERE n > 0),
+l AS (SELECT *, (t - coalesce(sum(3 * n) OVER (ORDER BY cap, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER (ORDER BY cap, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM c),
+v AS (SELECT min_by(lev, (cap, i)) AS lev FROM l WHERE lev <= cap),
+g AS (SELECT w.*, CASE WHEN w.n = 0 THEN 0.0::DOUBLE ELSE least(3.0::DOUBLE * w.n, w.w * v.lev) END AS target FROM w, v),
+q AS (SELECT source, i, blk, t, target / (2 * k + 1) AS quotient FROM (SELECT *, unnest(range(CAST(ceil(target / blk) AS BIGINT) + 2)) AS k FROM g)),
+k AS (SELECT i, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, i) AS r FROM q) WHERE r <= t // blk GROUP BY i),
+z AS (SELECT g.*, least(coalesce(seats, 0) * blk, 3 * n) AS quota FROM g LEFT JOIN k ON g.i = k.i),
+r AS (SELECT d.doc_id, d.size, z.n, z.target, z.quota, CASE WHEN z.n > 0 THEN z.quota // z.n ELSE 0 END AS passes, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS before
+      FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target, CAST(passes * size + greatest(0, least(size, quota - passes * n - before)) AS BIGINT) AS taken FROM r
+"""
+
+
 OP6_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
@@ -141,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_windows": OP2_SQL,
+        "op4_sainte_lague": OP4_SQL,
         "op6_suffix_dedup": OP6_SQL,
         "op7_license_join": _op7_sql(),
         "op9_dartminhash": OP9_SQL.format(upper=UPPER, lower=LOWER),
