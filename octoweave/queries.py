@@ -393,7 +393,7 @@ def container_metadata(spark, sf_dir):
 
 def _shared(spark) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="octoweave-")
-    return named.removeprefix("file://").removeprefix("file:")
+    return container.plain(named.replace("file:///", "/").removeprefix("file:"))
 
 
 @query()

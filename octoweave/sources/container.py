@@ -108,7 +108,16 @@ def write_file(path: str, meta: Meta, streams, magic: bytes = MAGIC) -> None:
         f.write(index(first, sizes))
 
 
+def plain(path: str) -> str:
+    """A path that files open by: executors reach containers through a folder they all mount."""
+    path = path.removeprefix("file://")
+    if "://" in path:
+        raise ContainerError(f"{path!r} is no mounted folder; copy it to one, or keep chunk rows as Parquet there")
+    return path
+
+
 def _files(path: str) -> list[str]:
+    path = plain(path)
     return sorted(glob.glob(os.path.join(path, "*.owc"))) if os.path.isdir(path) else [path]
 
 
@@ -120,7 +129,7 @@ class _Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.magic = options["path"], options.get("magic", MAGIC.decode()).encode("latin-1")
+        self.path, self.magic = plain(options["path"]), options.get("magic", MAGIC.decode()).encode("latin-1")
         self.each = int(options.get("chunksPerTask", 4096))
         self.fingerprint = options.get("fingerprint")
         self.only = {int(x) for x in options["chunks"].split(",")} if options.get("chunks") else None
@@ -154,7 +163,7 @@ class _Part(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options, overwrite):
-        self.path, self.overwrite = options["path"], overwrite
+        self.path, self.overwrite = plain(options["path"]), overwrite
         self.chunk_len = int(options["chunkLen"])
         self.fingerprint = bytes.fromhex(options.get("fingerprint", ""))
         self.vocabulary = bytes.fromhex(options.get("vocabulary", ""))

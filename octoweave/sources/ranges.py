@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .container import plain
+
 
 class _Span(InputPartition):
     def __init__(self, file, first, last):
@@ -17,7 +19,7 @@ class _Span(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.length = options["path"], int(options["chunkLen"])
+        self.path, self.length = plain(options["path"]), int(options["chunkLen"])
         self.each = int(options.get("chunksPerTask", 1024))
         self.most = int(options.get("maxChunks", 0))
 

@@ -40,3 +40,12 @@ def test_compressed_sizes_beat_deflate_per_document(spark, sf_dir):
     ours = core.QUERIES["compression_ratio"](spark, sf_dir).first()["ratio"]
     zlib = {r["codec"]: r["ratio"] for r in core.QUERIES["baseline_zlib_lzma"](spark, sf_dir).collect()}
     assert ours > 2 and zlib["zlib"] > 1
+
+
+@pytest.mark.parametrize("name, columns", [("byte_histogram", {"text"}), ("entropy_order0_by_lang", {"text", "lang"}), ("chunk_lengths", {"doc_id", "text"}), ("sanitize_names", {"page_id", "url"}), ("column_histogram", {"embedding"})])
+def test_scans_read_only_their_columns(spark, sf_dir, name, columns):
+    import re
+
+    plan = core.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    read = {c.split(":")[0] for schema in re.findall(r"ReadSchema: struct<(.*?)>(?:\n|,|$)", plan) for c in re.findall(r"\w+:", schema)}
+    assert read and {c.rstrip(":") for c in read} <= columns | {"vec_id"}, plan

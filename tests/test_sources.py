@@ -144,3 +144,9 @@ def test_streams_lose_and_repeat_no_byte(spark, tmp_path):
         whole = b"".join(v for k, _, v in rows if k == f"s{s}")
         got = b"".join(bytes(r["data"]) for r in sorted((r for r in out if r["src_id"] == f"s{s}"), key=lambda r: r["chunk_id"]))
         assert got == whole[: len(whole) // 64 * 64]
+
+
+def test_containers_live_in_mounted_folders():
+    assert container.plain("file:///a/b") == "/a/b"
+    with pytest.raises(container.ContainerError, match="mounted"):
+        container.plain("hdfs://host/a")
