@@ -52,5 +52,5 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     joined = keyed.join(gone.hint("merge"), F.col("id_").eqNullSafe(F.col("id__")) & (F.col("k_") == F.col("k__")), "left")
     cut = F.array_join(F.filter(F.split("row_.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row_.text")).otherwise(cut).alias("text")
-    kept = [text if c == "text" else F.col(f"row_.`{c}`") for c in docs.columns]
+    kept = [text if c == "text" else F.col(f"row_.`{c}`") for c in docs.columns if c not in ("n_lines_", "n_removed_")]
     return joined.select(*kept, F.size(_lines("row_.text")).alias("n_lines_"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed_"))

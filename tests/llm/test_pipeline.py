@@ -42,3 +42,28 @@ def test_decisions_are_those_of_the_operators(steps, spark, sf_dir):
 def test_run_gives_the_last_stage(steps, spark, sf_dir):
     got = sorted(map(str, pipeline.run(spark, sf_dir).collect()))
     assert got == sorted(map(str, steps[-1][2].collect()))
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_stages_take_awkward_rows_and_empty_tables(spark, tmp_path, n):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 5), (2, text, None, "b", None), (2, text, None, "b", None), (None, text + " more", "en", None, 1), (3, None, "en", "a", None), (4, "", "en", "a", 0), (5, "x\ny\nz\nw " * 4000, "en", "c", 9), (6, "line one\nline two\nline three\n" * 3, "de", "a", 2)]
+    docs = spark.createDataFrame(rows * n, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("size", "target", "class_id", "row_", "id_", "k_", "key", "n_lines_", "gone", "text_"):
+        docs = docs.withColumn(name, F.lit("x"))
+    spark.createDataFrame([(1, 1, None), (None, 0, 1), (9, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "a b c d e f"), (2, "word1 word2 word3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        columns, docs = docs.columns, spark.read.parquet(str(tmp_path / name))
+        if name != "mix":
+            assert docs.columns == columns
+    assert docs.columns[-4:] == ["size", "source_size", "target", "taken"]
+    if n:
+        kept = {r["doc_id"] for r in docs.collect()}
+        assert 1 in kept and 2 not in kept and 3 not in kept and 4 not in kept and None in kept
+    else:
+        assert docs.count() == 0
