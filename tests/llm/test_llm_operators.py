@@ -152,6 +152,24 @@ def test_no_exact_passage_is_missed(spark, sample):
     assert pairs and all(got[a] == got[b] for a, b in pairs)
 
 
+def test_passages_are_found_whatever_earlier_documents_hold_of_them(spark):
+    """Halves of a passage stand in the first documents, or its lines in many, so that no group's first document holds it whole."""
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 1 << 40, n))
+    rows, shared = [], []
+    for g in range(20):
+        passage = word(60).split()
+        halves = [" ".join(passage[:30]), " ".join(passage[30:])]
+        rows += [(100 * g + i, f"{word(40)} {halves[i % 2]} {word(40)}") for i in range(4)]
+        rows += [(100 * g + 50 + i, f"{word(40)} {' '.join(passage)} {word(40)}") for i in range(3)]
+        shared.append([100 * g + 50 + i for i in range(3)])
+    for partitions in (1, 40):
+        frame_ = spark.createDataFrame(rows, DOCS).repartition(partitions)
+        got = {r["doc_id"]: r["class_id"] for r in passages.passage_dedup(frame_).collect()}
+        assert all(got[d] == ids[0] for ids in shared for d in ids)
+        assert all(got[100 * g + i] == 100 * g + i for g in range(20) for i in range(4))
+
+
 def test_compact_windows_are_the_wide_ranges_of_the_tree():
     rng = np.random.default_rng(1)
     shingles = rng.integers(0, 2**63, 400).astype(np.uint64)
