@@ -2,9 +2,10 @@
 
 Texts become typed tokens: numbers (digits, or number words), names (capitalised tokens), units, and other words, lower-cased. A
 template puts one placeholder for each type; windows of WINDOW template tokens, LITERAL of them plain words at least, are hashed and
-joined with the benchmark's. Hits on one alignment of document and item are a leak if they cover COVERAGE of the item's tokens and
-the slots agree: an item's slot value stands for one value throughout the passage and the other way round, in more than AGREE of the slots. So
-a question with other numbers, names or units is caught, and one whose slots are shuffled is not.
+joined with the benchmark's. Hits on one alignment of document and item, or on a chain of them that rises in both and shifts by DRIFT
+tokens at most from hit to hit, are a leak if they cover COVERAGE of the item's tokens and the slots agree: an item's slot value stands for one value throughout the passage and the other way round, in more than AGREE of the slots. So
+a question with other numbers, names or units is caught, and one whose slots are shuffled is not. All this is done twice, with tokens as they are and with runs of numbers or names as one token,
+so that values may be longer or shorter.
 
 The benchmark is indexed in parts of at most PART_BYTES, each broadcast to one pass over the documents; a benchmark of any size is
 as many passes. Documents are never shuffled.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 
 WINDOW, LITERAL, COVERAGE, AGREE = 5, 3, 0.5, 0.8
+#: Tokens by which the shift may change from one hit of a chain to the next.
+DRIFT = 8
 PART_BYTES = 32 << 20
 U = np.uint64
 
@@ -45,10 +48,11 @@ def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def typed_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, kind) of each token, and the offsets of each text's tokens."""
+def typed_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, kind) of each token, the offsets of each text's tokens, and whether a token goes on with the run of numbers or names
+    before it."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(len(off), np.int64), np.zeros(0, bool)
     digit = _DIGIT[data]
     starts, ends, at = K.word_spans(data, off, K.IS_WORD[data] | (_JOINS[data] & np.r_[False, digit[:-1]] & np.r_[digit[1:], False]))
     token = K.span_hashes(data, starts, ends)
@@ -58,7 +62,19 @@ def typed_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     kind[capital | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (ends - starts > 1))] = 2
     kind[_among(token, _hashes(UNITS))] = 3
     kind[_DIGIT[first] | _among(token, _hashes(NUMBER_WORDS))] = 1
-    return token, kind, at
+    on = np.r_[False, (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 2)) & (starts[1:] == ends[:-1] + 1)][: len(kind)]
+    on[at[:-1][at[:-1] < len(on)]] = False
+    return token, kind, at, on
+
+
+def folded(token: np.ndarray, kind: np.ndarray, at: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens with each run of numbers or names as one, and the place of the first token of each."""
+    head = np.flatnonzero(~on)
+    if not len(head):
+        return token, kind, at, head
+    rank = np.arange(len(token)) - head[np.cumsum(~on) - 1]
+    value = np.where(on, K.mix64(token + rank.astype(np.uint64) * U(0x9E3779B97F4A7C15)), token)
+    return np.add.reduceat(value, head), kind[head], np.searchsorted(head, at), head
 
 
 def template_windows(token: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,49 +88,86 @@ def template_windows(token: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tup
     return h[ok], place[ok]
 
 
-class Index:
-    """Template windows of a bounded part of the benchmark."""
+class _View:
+    """Template windows of items in one reading of their tokens."""
 
-    def __init__(self, ids: list[int], texts: pa.Array):
-        self.ids = np.array(ids, np.int64)
-        data, off = K.text_buffer(texts)
-        self.token, self.kind, self.at = typed_tokens(data, off)
-        h, place = template_windows(self.token, self.kind, self.at)
+    def __init__(self, token: np.ndarray, kind: np.ndarray, at: np.ndarray):
+        self.token, self.kind, self.at = token, kind, at
+        h, place = template_windows(token, kind, at)
         order = np.argsort(h, kind="stable")
         self.hash, self.place = h[order], place[order]
-        self.item = np.searchsorted(self.at, self.place, "right") - 1
+        self.item = np.searchsorted(at, self.place, "right") - 1
 
-    def leaks(self, data: np.ndarray, off: np.ndarray) -> list[tuple]:
-        """(text, item id, coverage, agreeing slots, slots, first token) of each leak."""
-        token, kind, at = typed_tokens(data, off)
+    def leaks(self, token: np.ndarray, kind: np.ndarray, at: np.ndarray) -> dict:
+        """(coverage, agreeing slots, slots, place of the first token) of each leak, by (text, item)."""
         h, place = template_windows(token, kind, at)
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         some = hi > lo
         lo, count, place = lo[some], (hi - lo)[some], place[some]
+        best: dict = {}
         if not len(lo):
-            return []
+            return best
         hit, here = K.ragged(lo, count), np.repeat(place, count)
         item, there = self.item[hit], self.place[hit]
         text = np.searchsorted(at, here, "right") - 1
         shift = here - there
         order = np.lexsort((there, shift, item, text))
-        text, item, there, shift = (x[order] for x in (text, item, there, shift))
+        text, item, there, here, shift = (x[order] for x in (text, item, there, here, shift))
         new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])]
+        for g, (a, b), covered in self._enough(new, item, there):
+            self._try(best, (int(text[a]), int(item[a])), covered, there[a:b], here[a:b], token)
+        # Chains: what hits of a text and an item cover, whatever their shifts, bounds what a chain of them can.
+        shifts = np.add.reduceat(new, np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
+        order = np.lexsort((here, there, item, text))
+        text, item, there, here = (x[order] for x in (text, item, there, here))
+        new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])]
+        for g, (a, b), _ in self._enough(new, item, there):
+            if shifts[g] > 1:
+                size = int(self.at[item[a] + 1] - self.at[item[a]])
+                for chain, covered in self._chains(there[a:b], here[a:b], size):
+                    self._try(best, (int(text[a]), int(item[a])), covered, there[a:b][chain], here[a:b][chain], token)
+        return best
+
+    def _enough(self, new: np.ndarray, item: np.ndarray, there: np.ndarray):
+        """(group, its range, covered tokens) of the groups whose hits cover COVERAGE of their item."""
         head = np.flatnonzero(new)
         step = np.where(new, WINDOW, np.minimum(WINDOW, there - np.r_[0, there[:-1]]))
-        covered = np.add.reduceat(step, head)
-        size = np.diff(self.at)[item[head]]
-        best: dict = {}
+        covered, size = np.add.reduceat(step, head), np.diff(self.at)[item[head]]
+        ends = np.r_[head[1:], len(new)]
         for g in np.flatnonzero(covered >= COVERAGE * size):
-            a, b = head[g], head[g + 1] if g + 1 < len(head) else len(there)
-            places = np.unique((there[a:b, None] + np.arange(WINDOW)).ravel())
-            slot = places[self.kind[places] > 0]
-            agree = self.consistent(self.token[slot], token[slot + shift[a]])
-            if agree > AGREE * len(slot) or not len(slot):
-                key = (int(text[a]), int(item[a]))
-                found = (float(covered[g] / size[g]), int(agree), len(slot), int(there[a] + shift[a] - at[text[a]]))
-                best[key] = max(best.get(key, found), found, key=lambda f: (f[0], f[1], -f[3]))
-        return [(t, int(self.ids[i]), *found) for (t, i), found in best.items()]
+            yield g, (head[g], ends[g]), int(covered[g])
+
+    @staticmethod
+    def _chains(there: np.ndarray, here: np.ndarray, size: int):
+        """(hits, covered tokens) of the best chain to each last hit that covers COVERAGE and that no hit continues."""
+        order = np.lexsort((there, here))
+        t, d = there[order], here[order]
+        score, back, ends = np.full(len(t), WINDOW), np.full(len(t), -1), np.ones(len(t), bool)
+        first = np.searchsorted(d, d - size - DRIFT)
+        for i in range(len(t)):
+            a = first[i]
+            ok = np.flatnonzero((d[a:i] < d[i]) & (t[a:i] < t[i]) & (np.abs(d[a:i] - t[a:i] - d[i] + t[i]) <= DRIFT)) + a
+            if len(ok):
+                gain = score[ok] + np.minimum(WINDOW, t[i] - t[ok])
+                j = ok[len(ok) - 1 - int(np.argmax(gain[::-1]))]
+                score[i], back[i], ends[j] = gain.max(), j, False
+        for i in np.flatnonzero(ends & (score >= COVERAGE * size)):
+            chain = []
+            while i >= 0:
+                chain.append(i)
+                i = back[i]
+            yield order[chain[::-1]], int(score[chain[0]])
+
+    def _try(self, best: dict, key: tuple[int, int], covered: int, there: np.ndarray, here: np.ndarray, token: np.ndarray) -> None:
+        """Keeps the hits as the pair's leak if their slots agree and they cover more than others."""
+        places, at = np.unique((there[:, None] + np.arange(WINDOW)).ravel(), return_index=True)
+        slot = self.kind[places] > 0
+        ours, theirs = places[slot], (here[:, None] + np.arange(WINDOW)).ravel()[at][slot]
+        agree = self.consistent(self.token[ours], token[theirs])
+        if agree > AGREE * len(ours) or not len(ours):
+            size = self.at[key[1] + 1] - self.at[key[1]]
+            found = (float(covered / size), int(agree), len(ours), int(here[0]))
+            best[key] = max(best.get(key, found), found, key=lambda f: (f[0], f[1], -f[3]))
 
     @staticmethod
     def consistent(ours: np.ndarray, theirs: np.ndarray) -> int:
@@ -133,6 +186,24 @@ class Index:
         return agree
 
 
+class Index:
+    """Template windows of a bounded part of the benchmark, with tokens as they are and with runs folded."""
+
+    def __init__(self, ids: list[int], texts: pa.Array):
+        self.ids = np.array(ids, np.int64)
+        token, kind, at, on = typed_tokens(*K.text_buffer(texts))
+        self.plain, self.folded = _View(token, kind, at), _View(*folded(token, kind, at, on)[:3])
+
+    def leaks(self, data: np.ndarray, off: np.ndarray) -> list[tuple]:
+        """(text, item id, coverage, agreeing slots, slots, first token) of each leak."""
+        token, kind, at, on = typed_tokens(data, off)
+        best = self.plain.leaks(token, kind, at)
+        *runs, head = folded(token, kind, at, on)
+        for key, found in self.folded.leaks(*runs).items():
+            best.setdefault(key, (*found[:3], int(head[found[3]])))
+        return [(t, int(self.ids[i]), *found[:3], found[3] - int(at[t])) for (t, i), found in best.items()]
+
+
 def _scan(index):
     def scan(batches):
         for batch in batches:

@@ -258,6 +258,16 @@ def test_leaks_with_other_slots_are_caught_and_shuffled_ones_are_not(spark):
     assert decontaminate.leaks(frame(spark, rows).limit(0), bench).count() == 0 and decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_with_longer_values_or_added_words_are_caught(spark):
+    item = "when did the old teacher give her friend Maria about as many bright glass marbles as 25 of the smaller children had"
+    longer = item.replace("Maria", "Ana Lopez").replace("25", "twenty five")
+    added = item.replace("teacher give", "teacher so kindly give").replace("bright glass", "bright and shining glass")
+    rows = [(1, item), (2, f"Well, {longer} and so on"), (3, f"it says {added}"), (4, "when did the old teacher go home and not give her friend anything of the smaller kind")]
+    found = decontaminate.leaks(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 3]
+    assert {r["doc_id"]: r["first_token"] for r in found} == {1: 0, 2: 1, 3: 2}
+
+
 def test_a_large_benchmark_is_searched_in_parts(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
