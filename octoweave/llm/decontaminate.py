@@ -1,8 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Texts become typed tokens: numbers (digits, or number words), names (capitalised tokens), units, and other words, lower-cased. A
-template puts one placeholder for each type; windows of WINDOW template tokens, LITERAL of them plain words at least, are hashed and
-joined with the benchmark's. Hits on one alignment of document and item, or on a chain of them that rises in both and shifts by DRIFT
+template puts one placeholder for each type; windows of WINDOW template tokens are hashed and joined with the benchmark's. Windows with
+fewer than LITERAL plain words say too little as templates and stand for their literal tokens, so that a verbatim copy is always whole. Hits on one alignment of document and item, or on a chain of them that rises in both and shifts by DRIFT
 tokens at most from hit to hit, are a leak if they cover COVERAGE of the item's tokens and the slots agree: an item's slot value stands for one value throughout the passage and the other way round, in more than AGREE of the slots. So
 a question with other numbers, names or units is caught, and one whose slots are shuffled is not. All this is done twice, with tokens as they are and with runs of numbers or names as one token,
 so that values may be longer or shorter.
@@ -10,8 +10,8 @@ so that values may be longer or shorter.
 The benchmark is indexed in parts of at most PART_BYTES, each broadcast to one pass over the documents; a benchmark of any size is
 as many passes. Documents are never shuffled.
 
-Defined results: null and empty texts leak nothing; items shorter than WINDOW tokens, and null items, are found nowhere; rows that
-repeat give rows that repeat; a null doc_id passes through; other columns are ignored.
+Defined results: null and empty texts leak nothing; an item shorter than WINDOW tokens is one window of its literal tokens, found where
+all of them stand in a row; items without tokens, and null items, are found nowhere; rows that repeat give rows that repeat; a null doc_id passes through; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,14 +78,22 @@ def folded(token: np.ndarray, kind: np.ndarray, at: np.ndarray, on: np.ndarray)
 
 
 def template_windows(token: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place of its first token) of each window of enough plain words."""
+    """(hash, place of its first token) of each window: of its template, or of its literal tokens if plain words are too few."""
     code = np.where(kind == 0, token, _SLOTS[kind])
     h, to = K.shingles_of(code, at, WINDOW)
     counts = np.diff(to)
     place = K.ragged(at[:-1], counts)
     plain = np.r_[0, np.cumsum(kind == 0)]
-    ok = plain[place + WINDOW] - plain[place] >= LITERAL
-    return h[ok], place[ok]
+    few = plain[place + WINDOW] - plain[place] < LITERAL
+    if few.any():
+        h[few] = K.mix64(K.shingles_of(token, at, WINDOW)[0][few] + U(WINDOW))
+    return h, place
+
+
+def short_windows(token: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of its first token) of each window of ``size`` literal tokens."""
+    h, to = K.shingles_of(token, at, size)
+    return h, K.ragged(at[:-1], np.diff(to))
 
 
 class _View:
@@ -193,6 +201,15 @@ class Index:
         self.ids = np.array(ids, np.int64)
         token, kind, at, on = typed_tokens(*K.text_buffer(texts))
         self.plain, self.folded = _View(token, kind, at), _View(*folded(token, kind, at, on)[:3])
+        self.short = {}
+        for n in range(1, WINDOW):
+            which = np.flatnonzero(np.diff(at) == n)
+            if len(which):
+                h, place = short_windows(token, at, n)
+                first = np.searchsorted(place, at[which])
+                order = np.argsort(h[first], kind="stable")
+                slots = (kind[at[which][:, None] + np.arange(n)] > 0).sum(axis=1)
+                self.short[n] = h[first][order], which[order], slots[order]
 
     def leaks(self, data: np.ndarray, off: np.ndarray) -> list[tuple]:
         """(text, item id, coverage, agreeing slots, slots, first token) of each leak."""
@@ -201,6 +218,13 @@ class Index:
         *runs, head = folded(token, kind, at, on)
         for key, found in self.folded.leaks(*runs).items():
             best.setdefault(key, (*found[:3], int(head[found[3]])))
+        for n, (hashes, items, slots) in self.short.items():
+            h, place = short_windows(token, at, n)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            some = hi > lo
+            hit, here = K.ragged(lo[some], (hi - lo)[some]), np.repeat(place[some], (hi - lo)[some])
+            for t, k, p in zip((np.searchsorted(at, here, "right") - 1).tolist(), hit.tolist(), here.tolist()):
+                best.setdefault((t, int(items[k])), (1.0, int(slots[k]), int(slots[k]), p))
         return [(t, int(self.ids[i]), *found[:3], found[3] - int(at[t])) for (t, i), found in best.items()]
 
 

@@ -268,6 +268,14 @@ def test_leaks_with_longer_values_or_added_words_are_caught(spark):
     assert {r["doc_id"]: r["first_token"] for r in found} == {1: 0, 2: 1, 3: 2}
 
 
+def test_verbatim_copies_of_items_short_of_plain_words_are_caught(spark):
+    items = ["Convert 12 km, 7 m and 3 cm", "Anna Berta Carla Dora Emil Frida Gustav Hans", "Die Katze Jagt Den Hund Durch Das Haus", "two plus two"]
+    rows = [(i, f"so then: {text}. That is all") for i, text in enumerate(items)] + [(10, "Convert 14 km, 9 m and 8 kg"), (11, "two plus"), (12, "Anna Berta Otto Dora Karl Frida Max Hans")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["coverage"], r["first_token"]) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert found == {(i, i, 1.0, 2) for i in range(4)}
+
+
 def test_a_large_benchmark_is_searched_in_parts(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
