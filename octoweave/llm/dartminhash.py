@@ -138,7 +138,7 @@ def _cells(counted: bool):
             for a, b in _runs(off):
                 found, to = cells_of(data[off[a] : off[b]], off[a : b + 1] - off[a], counted)
                 packed = [K.pack_ints(np.sort(found[i:j] >> U(24)), CELL_BYTES) for i, j in zip(to[:-1], to[1:])]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "cells": pa.array(packed, pa.binary())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "k1": _sums(found, to).view(np.int64), "k2": _sums(K.mix64(found), to).view(np.int64), "cells": pa.array(packed, pa.binary())})
 
     return cells
 
@@ -213,8 +213,8 @@ def near_links(docs: DataFrame, counted: bool = False) -> tuple[DataFrame, DataF
     hubs = materialise(held.groupBy("band").agg(F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("hub")), "hubs")
     buckets = held.select("band", "doc_id")
     members = materialise(buckets.join(hubs, "band"), "members")
-    cells = docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_cells(counted), "doc_id long, cells binary")
-    cells = materialise(cells, "cells")
+    cells = docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_cells(counted), "doc_id long, k1 long, k2 long, cells binary")
+    cells = materialise(cells.groupBy("doc_id", "k1", "k2").agg(F.first("cells").alias("cells")), "cells")  # rows that repeat are one
     pairs = members.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     links = materialise(_checked(cells, pairs), "links")
 
@@ -228,8 +228,10 @@ def near_links(docs: DataFrame, counted: bool = False) -> tuple[DataFrame, DataF
     more = _checked(cells, rest)
     many = mixed.where(F.col("c") > PAIRED).withColumn("blocks", F.ceil(F.col("c") / BLOCK_ROWS).cast("int")).withColumn("at", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "doc_id", "class_id")
-    signs = reps.join(some.groupBy("doc_id").agg(F.count("*").alias("rows_")).where("rows_ = 1"), "doc_id", "left_semi").select("doc_id", "bands", "sig")
-    blocks = many.join(signs, "doc_id").join(cells, "doc_id").groupBy("band", "p", "q").applyInArrow(_block_links, "a long, b long, similarity double")
+    signs = reps.groupBy("doc_id", "k1", "k2").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # Of a doc_id's texts those that the bucket holds, each with its own cells.
+    full = many.join(signs, "doc_id").where("array_contains(bands, band)").join(cells, ["doc_id", "k1", "k2"])
+    blocks = full.groupBy("band", "p", "q").applyInArrow(_block_links, "a long, b long, similarity double")
     first, links = links, materialise(links.unionByName(more).unionByName(blocks), "links")
     drop(first, members, mixed, cells, held, hubs, sizes)
     return signed, copies, links

@@ -457,6 +457,24 @@ def test_large_buckets_compared_in_blocks_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()} == roots(sets, pairs)
 
 
+def test_large_buckets_lose_no_link_of_repeated_rows(spark, monkeypatch):
+    """One bucket for all, in blocks, whose hub is like none: links come from the second round alone, also if rows stand there twice."""
+    monkeypatch.setattr(dartminhash, "PAIRED", 2)
+    monkeypatch.setattr(dartminhash, "BLOCK_ROWS", 7)
+    one = lambda df, name: common.materialise(df.withColumn("bands", F.array_repeat(F.lit(7).cast("long"), dartminhash.BANDS)) if name == "signed" else df, name)
+    monkeypatch.setattr(dartminhash, "materialise", one)
+    rng = np.random.default_rng(6)
+    text = lambda: [f"t{v}" for v in rng.integers(0, 10**6, 200)]
+    rows, want = [(0, " ".join(text()))], set()
+    for i in range(1, 40, 2):
+        w = text()
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w[:-1], "end"]))]
+        want.add((i, i + 1))
+    twice = rows * 2 + [(1, " ".join(text()))]  # and a doc_id of two texts
+    links = dartminhash.near_links(spark.createDataFrame(twice, DOCS))[2]
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("counted", [False, True])
 def test_signatures_estimate_the_similarity(counted):
     import pyarrow as pa
