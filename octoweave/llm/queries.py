@@ -107,14 +107,14 @@ SELECT d.doc_id, CAST(k.n_lines AS INT) AS n_lines, CAST(k.n_removed AS INT) AS
 
 
 OP7_SQL = """
-WITH t AS (SELECT * FROM (VALUES {templates}) AS t(template, label, words, need)),
+WITH t AS (SELECT * FROM (VALUES {templates}) AS t(template, label, words, need, width)),
 ph AS (SELECT * FROM (VALUES {phrases}) AS ph(phrase, label)),
 d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 places AS (SELECT doc_id, i, label, len(string_split(phrase, ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) x JOIN ph
        ON array_to_string(list_slice(w, i + 1, i + len(string_split(phrase, ' '))), ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
-l AS (SELECT DISTINCT doc_id, line, list_distinct(regexp_extract_all(translate(line, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(l.w, t.words))::DOUBLE / len(t.words) AS c FROM l, t WHERE len(list_intersect(l.w, t.words)) >= t.need),
+l AS (SELECT doc_id, width, list_slice(w, j * width + 1, (j + 2) * width) AS w FROM (SELECT doc_id, w, width, unnest(range((len(w) + width - 1) // width)) AS j FROM d, (SELECT DISTINCT width FROM t))),
+m AS (SELECT doc_id, label, len(list_intersect(t.words, l.w))::DOUBLE / len(t.words) AS c FROM l JOIN t USING (width) WHERE len(list_intersect(t.words, l.w)) >= t.need),
 more AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS best FROM m GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
@@ -125,10 +125,11 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 
 OP9_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
-p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+o AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+s AS (SELECT doc_id, sh, log2(1 + count(*)) AS x FROM o GROUP BY ALL),
+n AS (SELECT doc_id, sum(x) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.x, b.x)) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= (0.8 - 1e-9) * (x.n + y.n - c)),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM documents d LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
@@ -136,7 +137,7 @@ SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM
 
 
 def _op7_sql() -> str:
-    templates = ", ".join(f"({i}, '{label}', {words!r}, {need})" for i, label, words, need in template_sets())
+    templates = ", ".join(f"({i}, '{label}', {words!r}, {need}, {width})" for i, label, words, need, width in template_sets())
     phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES.items())
     return OP7_SQL.format(templates=templates, phrases=phrases, upper=UPPER, lower=LOWER)
 
