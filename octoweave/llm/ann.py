@@ -111,10 +111,9 @@ def search_block(ids, classes, vectors, query_ids, queries, book: Codebook, k: i
     for i in range(0, len(queries), 64):
         some = queries[i : i + 64]
         hit = block.within(book.codes(some), book.radius)
-        scores = np.where(hit, some @ vectors.T, -np.inf)
         for q, own in enumerate(query_ids[i : i + 64]):
             row = np.flatnonzero(hit[q])
-            score = scores[q, row]
+            score = vectors[row] @ some[q]  # of what probing found, and nothing else
             if len(row) > k + 1:  # the k + 1 best vectors have k ids besides the query's own, and their ties
                 keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
                 row, score = row[keep], score[keep]
@@ -168,20 +167,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.where("vec_id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").where(~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vector", lambda v: v != 0))
-    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).agg(F.max_by("dim", F.struct("n", "dim")), F.sum("n")).first()
-    if sizes[0] is None:
+    rows = rows.distinct()
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "dim")).alias("most")).first()["most"]
+    if sizes is None:
         return spark.createDataFrame([], schema)
-    dim, n = sizes
-    rows = rows.where(F.size("vector") == dim).withColumn("class_key", F.md5(F.to_json("vector")))
+    n, dim = sizes
+    rows = materialise(rows.where(F.size("vector") == dim), "vectors")
+    rows = rows.withColumn("class_key", F.md5(F.to_json("vector")))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vector").toArrow()
     book = Codebook(_matrix(sample["vector"], dim), k)
 
     ranked = Window.partitionBy("class_key").orderBy("vec_id")
     blocks = max(1, -(-n // BLOCK_ROWS))
-    index = rows.distinct().withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= k + 1)
+    index = rows.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= k + 1)
     index = index.select(F.pmod(F.xxhash64("class_key"), F.lit(blocks)).alias("block"), F.col("class_key").alias("class_id"), "vec_id", "vector").groupBy("block").applyInArrow(_pack(dim), _RAW)
     index = materialise(index, "index")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
 
     def search(asked: DataFrame, book: Codebook) -> DataFrame:
         asked = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // every // QUERY_ROWS)))).alias("block"), F.concat_ws("|", F.col("vec_id").cast("string"), "class_key").alias("class_id"), "vec_id", "vector")
