@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that hold what is written within ``scratch``, innermost last.
+_scratch: list[str] = []
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What ``materialise`` writes within goes when it ends, so results must be written elsewhere before."""
+    _scratch.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, _scratch.pop())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to a table in the shared folder and reads them back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -35,10 +55,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def drop(*written: DataFrame) -> None:
     """Deletes tables that ``materialise`` wrote and nothing reads any more."""
     for df in written:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete(df.sparkSession, folder)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -89,8 +107,10 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int) -> DataFrame:
     """doc_id, text, label_ of at most ``rows`` labelled documents that are not held out and have ``max_bytes`` of text at most: those
-    of the least hashed doc_id, so that the sample is the same on every run. It bounds what a model is fitted on, and nothing else."""
+    of the least hashed doc_id, so that the sample is the same on every run; of rows that share a doc_id the least text. Labels of
+    documents that are not there take no place. It bounds what a model is fitted on, and nothing else."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("id_")).agg(F.max(label).cast("int").alias("label_"))
-    some = known.orderBy(F.xxhash64("id_"), "id_").limit(rows)
     fit = docs.select(F.col("doc_id").alias("id_"), "text").where(F.octet_length("text") <= max_bytes)
-    return fit.join(F.broadcast(some), "id_").withColumnRenamed("id_", "doc_id")  # a row for each sampled label: at most ``rows``
+    some = known.join(fit.select("id_"), "id_", "left_semi").orderBy(F.xxhash64("id_"), "id_").limit(rows)
+    got = fit.join(F.broadcast(some), "id_")  # a row for each sampled label: at most ``rows``
+    return got.groupBy(F.col("id_").alias("doc_id")).agg(F.min("text").alias("text"), F.max("label_").alias("label_"))
