@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octoweave.llm.common import shared_dir, table
+from octoweave.llm.common import delete, scratch, shared_dir, table
 from octoweave.llm.dartminhash import near_dedup
 from octoweave.llm.decontaminate import clean
 from octoweave.llm.line_dedup import line_dedup
@@ -62,10 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each by way of a table in the cluster's shared folder."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages applied to documents, each by way of a table in the cluster's shared folder; a stage's own tables go when it is
+    written, and its result when the next one is."""
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
+        if before:
+            delete(spark, f"{base}/{before}")
+        before = name
     return docs
