@@ -1,7 +1,8 @@
 """Vectorised numpy kernels over the bytes of many texts at once.
 
 Every kernel works on one contiguous byte buffer with document offsets, so its cost follows the bytes and never the number of
-words in Python. Buffers are cut into slices of about ``SLICE_BYTES``; a single longer text is one slice of its own.
+words in Python. Buffers are cut into slices of about ``SLICE_BYTES``; a single longer text is one slice of its own, whose words are found
+and hashed in pieces of ``PIECE_BYTES``, so that what stays in memory is a few numbers for each word and not for each byte.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass handles at once: small enough for the cache and for two workers an executor.
 SLICE_BYTES = 1 << 20
+#: Bytes whose words are found, or hashed, at once.
+PIECE_BYTES = 4 << 20
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -72,11 +75,16 @@ def word_spans(data: np.ndarray, off: np.ndarray, word: np.ndarray | None = None
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = IS_WORD[data] if word is None else word
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    starts = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | edge[:-1]))
-    ends = np.flatnonzero(word & (np.r_[~word[1:], True] | edge[1:])) + 1
+    parts = []
+    for a in range(0, n, PIECE_BYTES):
+        b = min(a + PIECE_BYTES, n)
+        w = IS_WORD[data[max(a - 1, 0) : b + 1]] if word is None else word[max(a - 1, 0) : b + 1]
+        before, after = w[:1] if a else np.zeros(1, bool), w[-1:] if b < n else np.zeros(1, bool)
+        w = w[int(a > 0) :][: b - a]
+        edge = np.zeros(b - a + 1, bool)
+        edge[off[np.searchsorted(off, a) : np.searchsorted(off, b, "right")] - a] = True
+        parts.append((np.flatnonzero(w & (np.r_[~before, ~w[:-1]] | edge[:-1])) + a, np.flatnonzero(w & (np.r_[~w[1:], ~after] | edge[1:])) + a + 1))
+    starts, ends = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts))
     return starts, ends, np.searchsorted(starts, off)
 
 
@@ -84,12 +92,39 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np
     """A 64-bit hash of each byte span, equal for equal content at any place (of letters folded to lower case, by default)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) <= PIECE_BYTES:
+        return _span_hashes(data, starts, ends, code)
+    out = np.zeros(len(starts), np.uint64)
+    long = np.flatnonzero(ends - starts > PIECE_BYTES // 4)
+    for i in long.tolist():
+        out[i] = _long_hash(data, int(starts[i]), int(ends[i]), code)
+    rest = np.setdiff1d(np.arange(len(starts)), long) if len(long) else np.arange(len(starts))
+    i = 0
+    while i < len(rest):  # spans come in order, and none here is long
+        base = int(starts[rest[i]])
+        j = i + int(np.searchsorted(starts[rest[i:]], base + PIECE_BYTES // 2, "right"))
+        some = rest[i:j]
+        out[some] = _span_hashes(data[base : int(ends[some].max())], starts[some] - base, ends[some] - base, code)
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(code[data] * up[:-1], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _long_hash(data: np.ndarray, start: int, end: int, code: np.ndarray) -> np.uint64:
+    """The same hash of one long span, a piece at a time."""
+    total, up = 0, powers(PIECE_BYTES)[0]
+    for a in range(start, end, PIECE_BYTES):
+        piece = data[a : min(a + PIECE_BYTES, end)]
+        total += int((code[piece] * up[: len(piece)]).sum(dtype=np.uint64)) * pow(int(_BASE), a - start, 2**64)
+    return mix64(np.array([(total + end - start) % 2**64], np.uint64))[0]
+
+
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, in order, and the offsets of each document's words."""
     starts, ends, at = word_spans(data, off)
