@@ -76,10 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     else:
         m = timed("train", model)
         if not only or args.compress_only:
-            if os.path.isdir(folder):
-                for f in os.listdir(folder):
-                    os.remove(os.path.join(folder, f))
-            timed("compress", lambda: container.save(codec.compress(container.ranged(rows, spark.sparkContext.defaultParallelism), m), folder, cfg.seq_size, m.fingerprint))
+            timed("compress", lambda: container.save(codec.compress(container.ranged(rows, spark.sparkContext.defaultParallelism), m), folder, cfg.seq_size, m.fingerprint, mode="overwrite"))
             size = sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder))
             original = sum(r["uncompressed_len"] for r in container.metadata(spark, folder).collect())
             out |= {"original": original, "compressed": size, "ratio": original / size if size else float("inf")}

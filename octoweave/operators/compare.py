@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bytes_of
@@ -31,37 +31,60 @@ def exact(a: Column, b: Column) -> Column:
 
 
 def close(a: Column, b: Column) -> Column:
-    """|a - b| <= ATOL + RTOL |b|, NaN equal to NaN, infinities to themselves."""
-    return F.coalesce((a == b) | (F.abs(a - b) <= ATOL + RTOL * F.abs(b)) & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
+    """|a - b| <= ATOL + RTOL |b| for finite b, NaN equal to NaN, infinities to themselves."""
+    near = (F.abs(a - b) <= ATOL + RTOL * F.abs(b)) & ~F.isnan(a) & ~F.isnan(b) & (F.abs(b) < float("inf"))
+    return F.coalesce((a == b) | near, F.lit(False))
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows of both sides by key, as a_ and b_ columns, with ``both_``: whether either side has the row."""
+    x = a.select(*keys, F.lit(True).alias("in_a_"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    y = b.select(*keys, F.lit(True).alias("in_b_"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    return x.join(y, keys, "full").withColumn("both_", F.col("in_a_").isNotNull() & F.col("in_b_").isNotNull())
+
+
+def _long(joined: DataFrame, columns: list[str], kind: str | None = None) -> DataFrame:
+    """(column, x, y, both_): a row for each row and column."""
+    value = lambda c: F.col(c).cast(kind) if kind else F.col(c)
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), value(f"a_{c}").alias("x"), value(f"b_{c}").alias("y")) for c in columns))
+    return joined.select("both_", F.explode(rows).alias("r")).select("both_", "r.*")
 
 
 def compare_columns(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(column, n, n_equal, max_residual, equal): exact comparison of numeric columns row by row, b - a as the residual."""
-    joined = a.select(*keys, *(F.col(c).alias(f"a_{c}") for c in columns)).join(b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in columns)), keys)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").cast("double").alias("x"), F.col(f"b_{c}").cast("double").alias("y")) for c in columns))
-    long = joined.select(F.explode(rows).alias("r")).select("r.*")
-    same = exact(F.col("x"), F.col("y"))
-    return long.groupBy("column").agg(F.count("*").alias("n"), F.sum(same.cast("long")).alias("n_equal"), F.max(F.abs(F.col("y") - F.col("x"))).alias("max_residual")).withColumn("equal", F.col("n") == F.col("n_equal"))
+    """(column, n, n_equal, max_residual, equal): exact comparison of numeric columns row by row, b - a as the residual. A row that one
+    side lacks counts in n and is equal to nothing."""
+    same = F.col("both_") & exact(F.col("x"), F.col("y"))
+    rows = _long(_beside(a, b, keys, columns), columns, "double")
+    return rows.groupBy("column").agg(F.count("*").alias("n"), F.sum(same.cast("long")).alias("n_equal"), F.max(F.abs(F.col("y") - F.col("x"))).alias("max_residual")).withColumn("equal", F.col("n") == F.col("n_equal"))
 
 
 def compare_lists(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(column, status, n, n_bad): ok, lengths differ or values differ, for list columns; values may differ within tolerance."""
-    joined = a.select(key, *(F.col(c).alias(f"a_{c}") for c in columns)).join(b.select(key, *(F.col(c).alias(f"b_{c}") for c in columns)), key)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").alias("x"), F.col(f"b_{c}").alias("y")) for c in columns))
-    long = joined.select(F.explode(rows).alias("r")).select("r.*")
-    sized = F.size("x") == F.size("y")
-    equal = F.forall(F.zip_with("x", "y", close), lambda v: v)
-    out = long.groupBy("column").agg(F.count("*").alias("n"), F.sum((~sized).cast("long")).alias("lengths"), F.sum((~equal).cast("long")).alias("n_bad"))
-    status = F.when(F.col("lengths") > 0, "lengths differ").when(F.col("n_bad") > 0, "values differ").otherwise("ok")
+    """(column, status, n, n_bad): ok, rows differ (one side lacks some), lengths differ or values differ, for list columns; values may
+    differ within tolerance. A list that is null equals a null one alone."""
+    sized = F.coalesce(F.size("x"), F.lit(-1)) == F.coalesce(F.size("y"), F.lit(-1))
+    equal = F.when(F.col("x").isNull() & F.col("y").isNull(), F.col("both_")).otherwise(F.coalesce(F.forall(F.zip_with("x", "y", close), lambda v: v), F.lit(False)) & sized)
+    count = lambda c: F.sum(c.cast("long"))
+    out = _long(_beside(a, b, [key], columns), columns).groupBy("column").agg(F.count("*").alias("n"), count(~F.col("both_")).alias("rows_"), count(~sized).alias("lengths"), count(~equal).alias("n_bad"))
+    status = F.when(F.col("rows_") > 0, "rows differ").when(F.col("lengths") > 0, "lengths differ").when(F.col("n_bad") > 0, "values differ").otherwise("ok")
     return out.select("column", status.alias("status"), "n", "n_bad")
 
 
 def compare_records(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(column, n, n_bad, status) for every other column; equal means identical, NaN to NaN and null to null; unequal schemas are an error."""
+    """(column, n, n_bad, status) for every other column: ok, rows differ (one side lacks some) or values differ; equal means identical,
+    NaN to NaN and null to null; unequal schemas are an error."""
     if a.dtypes != b.dtypes:
         raise ValueError("the schemas differ")
     columns = [c for c in a.columns if c not in keys]
-    joined = a.select(*keys, *(F.col(c).alias(f"a_{c}") for c in columns)).join(b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in columns)), keys)
-    flags = joined.agg(F.count("*").alias("n"), *(F.sum((~F.equal_null(F.col(f"a_{c}"), F.col(f"b_{c}"))).cast("long")).alias(c) for c in columns))
+    bad = {c: F.sum((~(F.col("both_") & F.equal_null(F.col(f"a_{c}"), F.col(f"b_{c}")))).cast("long")).alias(c) for c in columns}
+    flags = _beside(a, b, keys, columns).agg(F.count("*").alias("n"), F.coalesce(F.sum((~F.col("both_")).cast("long")), F.lit(0)).alias("rows_"), *bad.values())
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(0)).alias("n_bad")) for c in columns))
-    return flags.select("n", F.explode(rows).alias("r")).select("r.column", "n", "r.n_bad", F.when(F.col("r.n_bad") == 0, "ok").otherwise("values differ").alias("status"))
+    status = F.when(F.col("rows_") > 0, "rows differ").when(F.col("r.n_bad") == 0, "ok").otherwise("values differ")
+    return flags.select("n", "rows_", F.explode(rows).alias("r")).select("r.column", "n", "r.n_bad", status.alias("status"))
+
+
+def report(compared: DataFrame) -> DataFrame:
+    """(line, column, status, n, n_bad): the columns of a comparison by name, and a last line OVERALL: ok if every column is. A row for
+    each column, so that one window numbers them."""
+    whole = compared.agg(F.lit("OVERALL").alias("column"), F.when(F.coalesce(F.bool_and(F.col("status") == "ok"), F.lit(True)), "ok").otherwise("differs").alias("status"), F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_bad"), F.lit(0)).alias("n_bad"))
+    rows = compared.select(F.lit(0).alias("last"), "column", "status", "n", "n_bad").unionByName(whole.select(F.lit(1).alias("last"), "*"))
+    return rows.withColumn("line", F.row_number().over(Window.orderBy("last", "column"))).select("line", "column", "status", "n", "n_bad").orderBy("line")

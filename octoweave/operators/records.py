@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 SIDECAR = "n_events long, tree_key string, branches array<struct<name: string, is_list: boolean, max_len: int, dtype: string, col_offset: int>>, lengths map<string, array<int>>"
 
 
-def flat_records(docs: DataFrame, columns: list[str], kind: str = "<f4", data: str = "data", key: str = "src_id", exact: bool = True) -> DataFrame:
-    """(key, row, columns): each value's bytes as rows of so many numbers; a last part of a row is an error, or dropped if not ``exact``."""
+def flat_records(docs: DataFrame, columns: list[str], kind: str = "<f4", data: str = "data", key: str = "src_id", exact: bool = True, max_rows: int | None = None) -> DataFrame:
+    """(key, row, columns): each value's bytes as rows of so many numbers, the first ``max_rows``; a last part of a row is an error, or dropped
+    if not ``exact``. Then a value of less than one row is the error."""
     width = len(columns)
     out = np.dtype(kind)
     name = {"f4": "float", "f8": "double", "i4": "int", "i8": "long"}[out.str[1:]]
@@ -26,7 +27,10 @@ def flat_records(docs: DataFrame, columns: list[str], kind: str = "<f4", data: s
                 size = width * out.itemsize
                 if len(b) % size and exact:
                     raise ValueError(f"{len(b)} bytes are not whole rows of {size}")
-                m = np.frombuffer(b, out, len(b) // size * width).reshape(-1, width)
+                if not len(b) // size and not exact:
+                    raise ValueError(f"{len(b)} bytes are less than one row of {size}")
+                n = len(b) // size if max_rows is None else min(len(b) // size, max_rows)
+                m = np.frombuffer(b, out, n * width).reshape(-1, width)
                 ids += [k] * len(m)
                 rows.append(np.arange(len(m)))
                 parts.append(m)
@@ -112,12 +116,25 @@ def column_histogram(cells: DataFrame, ranges: DataFrame, bins: int) -> DataFram
     return cells.where(~F.isnan("value")).join(F.broadcast(ranges.select("col", "lo", "hi")), "col").groupBy("col", place.cast("int").alias("bin")).agg(F.count("*").alias("n"))  # a row for each column
 
 
+def common_length(a: DataFrame, b: DataFrame, key: str, data: str = "data") -> tuple[DataFrame, DataFrame]:
+    """Both sides' values cut to the shorter one's length; keys that one side lacks go."""
+    sizes = a.select(key, F.octet_length(data).alias("m_")).join(b.select(key, F.octet_length(data).alias("n_")), key).select(key, F.least("m_", "n_").alias("k_"))
+    cut = lambda df: df.join(sizes, key).withColumn(data, F.substring(F.col(data), F.lit(1), F.col("k_"))).drop("k_")
+    return cut(a), cut(b)
+
+
+def first_events(events: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` events in order, all if there are fewer: each task keeps that many."""
+    return events.orderBy(*order).limit(most)
+
+
 def byte_budget(docs: DataFrame, bucket: Column, order: list, size: str, budget: int) -> DataFrame:
     """The first rows in order up to so many bytes, with ``kept``: how many of each are within. ``bucket`` must rise with the order; its
-    totals come first, and running sums stay within buckets, so that no window holds all rows."""
+    running totals come first, a row for each bucket, those within the budget are joined, and running sums stay within buckets, so that
+    no window holds all rows."""
     placed = docs.withColumn("bucket_", bucket)
-    totals = placed.groupBy("bucket_").agg(F.sum(size).alias("t")).agg(F.array_sort(F.collect_list(F.struct("bucket_", "t"))).alias("all_"))  # a pair for each bucket, in one row
-    before = F.aggregate(F.filter("all_", lambda x: x["bucket_"] < F.col("bucket_")), F.lit(0).cast("long"), lambda a, x: a + x["t"])
-    placed = placed.crossJoin(F.broadcast(totals)).withColumn("at_", before).where(F.col("at_") < budget)
+    totals = placed.groupBy("bucket_").agg(F.sum(size).alias("t_"))
+    before = totals.select("bucket_", (F.sum("t_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t_")).alias("before_")).where(F.col("before_") < budget)
     run = F.sum(size).over(Window.partitionBy("bucket_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)
-    return placed.withColumn("at_", F.col("at_") + run).where(F.col("at_") < budget).withColumn("kept", F.least(F.col(size), F.lit(budget) - F.col("at_"))).drop("bucket_", "all_", "at_")
+    placed = placed.join(before, "bucket_").withColumn("at_", F.col("before_") + run).where(F.col("at_") < budget)
+    return placed.withColumn("kept", F.least(F.col(size), F.lit(budget) - F.col("at_"))).drop("bucket_", "before_", "at_")

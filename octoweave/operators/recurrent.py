@@ -18,6 +18,12 @@ def recurrence(values: Column, decay: Column, gain: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda h, x: decay * h + gain * x)
 
 
+def selective_recurrence(values: Column, steps: Column) -> Column:
+    """The state after h = exp(-dt) h + dt x over two arrays, from 0: each element's own step says how much is kept and taken."""
+    pairs = F.zip_with(values, steps, lambda x, dt: F.struct(x.alias("x"), dt.alias("dt")))
+    return F.aggregate(pairs, F.lit(0.0), lambda h, p: F.exp(-p["dt"]) * h + p["dt"] * p["x"])
+
+
 def cumulative_hits(rows: DataFrame, keys: list[str], rank: str, hit: str) -> DataFrame:
     """Adds ``seen``: whether a hit stands at this rank or a better one."""
     by = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import words_le
 from .coder import Decoder, Encoder
 
-#: Lanes that step together.
-LANES = 4096
+#: Lanes that step together, and what their table may hold.
+LANES, TABLE_BYTES = 4096, 128 << 20
 
 
 def encode(lanes: list[np.ndarray], model) -> list[np.ndarray]:
@@ -81,6 +82,16 @@ def _find(bounds: np.ndarray, target: np.ndarray) -> np.ndarray:
     return lo
 
 
+def lane_runs(sizes: np.ndarray):
+    """(first, count) of runs of lanes: LANES at most, and fewer where the longest would make a table of more than TABLE_BYTES."""
+    at = 0
+    while at < len(sizes):
+        longest = np.maximum.accumulate(np.maximum(sizes[at : at + LANES], 1))
+        count = max(1, int(np.searchsorted(longest * np.arange(1, len(longest) + 1) * 8, TABLE_BYTES, "right")))
+        yield at, count
+        at += count
+
+
 def spread(chunks: DataFrame) -> DataFrame:
     """Chunk rows dealt over all cores where fewer tasks than cores would hold them: coding costs far more than moving the bytes."""
     cores = chunks.sparkSession.sparkContext.defaultParallelism
@@ -93,8 +104,8 @@ def compress(chunks: DataFrame, model, data: str = "data") -> DataFrame:
 
     def squeeze(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, LANES):
-                batch = whole.slice(at, LANES)
+            for at, count in lane_runs(pc.fill_null(pc.binary_length(whole.column(data)), 0).to_numpy(zero_copy_only=False)):
+                batch = whole.slice(at, count)
                 lanes = [np.frombuffer(b or b"", np.uint8) for b in batch.column(data).to_pylist()]
                 streams = [words_le(w) for w in encode(lanes, model)]
                 first = [int(x[0]) if len(x) else None for x in lanes]
@@ -109,8 +120,8 @@ def decompress(chunks: DataFrame, model, data: str = "data") -> DataFrame:
 
     def expand(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, LANES):
-                batch = whole.slice(at, LANES)
+            for at, count in lane_runs(whole.column("n").to_numpy(zero_copy_only=False)):
+                batch = whole.slice(at, count)
                 streams = [np.frombuffer(s, "<u4") for s in batch.column("stream").to_pylist()]
                 first = np.array([b or 0 for b in batch.column("first_byte").to_pylist()])
                 lanes = decode(streams, first, np.array(batch.column("n")), model)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +13,8 @@ from .operators import baselines, chunks, compare, counts, index, metrics, recor
 from .plans import codec
 from .plans.coder import TOTAL
 from .plans.predictor import train_counts
-from .sources import container
+from .session import shared_dir
+from .sources import container, datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -202,11 +201,11 @@ def inverse_remap_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.md5("data").alias("digest"))
 
 
-@query(f"WITH {SPLIT_BYTES} SELECT DISTINCT byte FROM sb WHERE split = 'test' AND byte NOT IN (SELECT byte FROM sb WHERE split = 'train' AND doc_id % 50 = 0)")
+@query(f"WITH {SPLIT_BYTES} SELECT DISTINCT byte FROM sb WHERE split = 'test' AND byte NOT IN (SELECT byte FROM sb WHERE split = 'train')")
 def unseen_bytes_anti(spark, sf_dir):
-    """Bytes of the test split that a vocabulary of every fiftieth document's training part lacks."""
+    """Bytes of the test split that the vocabulary of all training parts lacks; on text there may be none."""
     parts = splits.split_slices(splits.split_sizes(documents(spark, sf_dir), SEQ, BATCH))
-    have = counts.byte_counts(parts.where("split = 'train' AND doc_id % 50 = 0")).select("byte")
+    have = counts.byte_counts(parts.where("split = 'train'")).select("byte")
     return counts.byte_counts(parts.where("split = 'test'")).select("byte").join(have, "byte", "left_anti")
 
 
@@ -369,33 +368,28 @@ def compression_ratio(spark, sf_dir):
     return total.withColumn("ratio", S.ratio(F.col("original"), F.col("compressed")))
 
 
-@query("SELECT vec_id, CAST(col AS INT) AS col, value FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS value FROM embeddings) WHERE col < 4")
+@query("SELECT vec_id, CAST(col AS INT) AS col, value FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS value FROM embeddings)")
 def container_roundtrip(spark, sf_dir):
-    """Vectors as raw bytes, one chunk each: compressed, written to a folder of containers, read, decoded, of which four columns."""
-    rows = records.packed_records(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("chunk_id"), "embedding"), "embedding")
+    """Vectors as raw bytes, one chunk each: compressed, written to a folder of containers, read and decoded."""
+    rows = records.packed_records(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "embedding")
     width = rows.select(F.max(F.length("data"))).first()[0]
     model = train_counts(rows)
-    path = os.path.join(_shared(spark), f"container-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/container-{uuid.uuid4().hex}"
     container.save(codec.compress(container.ranged(rows, 8), model), path, width, model.fingerprint)
     back = codec.decompress(container.load(spark, path, fingerprint=model.fingerprint.hex()), model)
     flat = records.flat_records(back.select(F.col("chunk_id").cast("long").alias("vec_id"), "data"), [f"c{i}" for i in range(width // 4)], key="vec_id")
-    return flat.select("vec_id", F.posexplode(F.array(*(F.col(f"c{i}") for i in range(4)))).alias("col", "value"))
+    return flat.select("vec_id", F.posexplode(F.array(*(F.col(f"c{i}") for i in range(width // 4)))).alias("col", "value"))
 
 
 @query()
 def container_metadata(spark, sf_dir):
-    rows = records.packed_records(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("chunk_id"), "embedding"), "embedding")
+    rows = records.packed_records(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "embedding")
     width = rows.select(F.max(F.length("data"))).first()[0]
-    model, path = train_counts(rows, order=0), os.path.join(_shared(spark), f"container-{uuid.uuid4().hex}")
+    model, path = train_counts(rows, order=0), f"{shared_dir(spark)}/container-{uuid.uuid4().hex}"
     container.save(codec.compress(container.ranged(rows, 8), model), path, width, model.fingerprint)
     return container.metadata(spark, path)
 
 
-def _shared(spark) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="octoweave-")
-    return container.plain(named.replace("file:///", "/").removeprefix("file:"))
-
-
 @query()
 def baseline_zlib_lzma(spark, sf_dir):
     return baselines.baseline_sizes(documents(spark, sf_dir)).drop("seconds")
@@ -429,13 +423,31 @@ def _cells(spark, sf_dir):
 CELLS = "cells AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding) AS value FROM embeddings)"
 
 
-@query(f"WITH {CELLS} SELECT vec_id, CAST(col AS INT) AS col, value FROM cells WHERE col < 4")
+@query(f"WITH {CELLS} SELECT vec_id, CAST(col AS INT) AS col, value FROM cells")
 def matrix_view(spark, sf_dir):
-    """Vectors as raw floats and back as columns of rows, of which four."""
+    """Vectors as raw floats and back as columns of rows."""
     width = table(spark, sf_dir, "embeddings").select(F.max(F.size("embedding"))).first()[0]
     raw = records.packed_records(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
     flat = records.flat_records(raw, [f"c{i}" for i in range(width)], key="vec_id")
-    return flat.select("vec_id", F.posexplode(F.array(*(F.col(f"c{i}") for i in range(4)))).alias("col", "value"))
+    return flat.select("vec_id", F.posexplode(F.array(*(F.col(f"c{i}") for i in range(width)))).alias("col", "value"))
+
+
+@query("SELECT vec_id, r AS row, [embedding[i + 1] FOR i IN range(5 * r, 5 * r + 5)] AS fields FROM (SELECT vec_id, embedding, unnest(range(least(10, len(embedding) // 5))) AS r FROM embeddings)")
+def matrix_rows(spark, sf_dir):
+    """The first ten rows of five numbers of each vector, a last part of a row dropped."""
+    raw = records.packed_records(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    flat = records.flat_records(raw, [f"c{i}" for i in range(5)], key="vec_id", exact=False, max_rows=10)
+    return flat.select("vec_id", "row", F.array(*(f"c{i}" for i in range(5))).alias("fields"))
+
+
+@query("SELECT doc_id, least(strlen(d.text), strlen(b.text)) AS n, md5(substr(hex(encode(d.text)), 1, CAST(2 * least(strlen(d.text), strlen(b.text)) AS INT))) AS a, md5(substr(hex(encode(b.text)), 1, CAST(2 * least(strlen(d.text), strlen(b.text)) AS INT))) AS b FROM documents d JOIN benchmark b ON d.doc_id = b.item_id")
+def common_lengths(spark, sf_dir):
+    """Documents and benchmark items of one number, both cut to the shorter one's length."""
+    a = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").cast("binary").alias("data"))
+    a, b = records.common_length(a, b, "doc_id")
+    both = a.join(b.withColumnRenamed("data", "other"), "doc_id")
+    return both.select("doc_id", F.octet_length("data").cast("long").alias("n"), F.md5(F.hex("data")).alias("a"), F.md5(F.hex("other")).alias("b"))
 
 
 RANGES = f"{CELLS}, rg AS (SELECT col, count(*) AS n, avg(CAST(value AS DOUBLE)) AS mean, stddev_pop(CAST(value AS DOUBLE)) AS std, min(value) AS lo, max(value) AS hi FROM cells WHERE NOT isnan(value) GROUP BY col)"
@@ -522,6 +534,67 @@ def struct_compare(spark, sf_dir):
     return compare.compare_records(a, b, ["o_orderkey"])
 
 
+def _sides(spark, sf_dir):
+    """Two sides of which either lacks some rows of the other's."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("double").alias("x"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    return rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 7 <> 0").withColumn("x", F.when(F.col("vec_id") % 11 == 0, F.col("x") + 1).otherwise(F.col("x")))
+
+
+SIDES = "s AS (SELECT vec_id % 5 <> 0 AS a, vec_id % 7 <> 0 AS b, vec_id % 11 = 0 AS odd FROM embeddings WHERE vec_id % 35 <> 0)"
+
+
+@query(f"WITH {SIDES} SELECT 'x' AS \"column\", count(*) AS n, count(*) FILTER (a AND b AND NOT odd) AS n_equal, 1.0::DOUBLE AS max_residual, count(*) = count(*) FILTER (a AND b AND NOT odd) AS equal FROM s")
+def compare_columns_rows(spark, sf_dir):
+    return compare.compare_columns(*_sides(spark, sf_dir), ["vec_id"], ["x"])
+
+
+@query(f"WITH {SIDES} SELECT 'v' AS \"column\", CASE WHEN count(*) FILTER (NOT (a AND b)) > 0 THEN 'rows differ' ELSE 'ok' END AS status, count(*) AS n, count(*) FILTER (NOT (a AND b)) AS n_bad FROM s")
+def compare_lists_rows(spark, sf_dir):
+    return compare.compare_lists(*_sides(spark, sf_dir), "vec_id", ["v"])
+
+
+@query(f"WITH {SIDES}, r AS (SELECT 'v' AS \"column\", count(*) AS n, count(*) FILTER (NOT (a AND b)) AS n_bad FROM s UNION ALL SELECT 'x', count(*), count(*) FILTER (NOT (a AND b AND NOT odd)) FROM s) SELECT row_number() OVER (ORDER BY \"column\") AS line, \"column\", 'rows differ' AS status, n, n_bad FROM r UNION ALL SELECT 3, 'OVERALL', 'differs', max(n), CAST(sum(n_bad) AS BIGINT) FROM r")
+def compare_report(spark, sf_dir):
+    """The columns of two tables that lack rows of each other's, in order, with an overall line."""
+    return compare.report(compare.compare_records(*_sides(spark, sf_dir), ["vec_id"])).withColumn("line", F.col("line").cast("long"))
+
+
+@query("SELECT 'v' AS \"column\", 'values differ' AS status, count(*) AS n, count(*) FILTER (vec_id % 2 = 0 OR vec_id % 3 = 0) AS n_bad FROM embeddings")
+def compare_infinities(spark, sf_dir):
+    """A finite number against infinity is not close, in either order; infinity to itself and NaN to NaN are."""
+    inf, nan = float("inf"), float("nan")
+    rows, k = table(spark, sf_dir, "embeddings").select("vec_id"), F.col("vec_id")
+    a = rows.select("vec_id", F.array(F.lit(1.0), F.lit(inf), F.lit(nan), F.when(k % 3 == 0, inf).otherwise(2.0)).alias("v"))
+    b = rows.select("vec_id", F.array(F.when(k % 2 == 0, inf).otherwise(1.0), F.lit(inf), F.lit(nan), F.lit(2.0)).alias("v"))
+    return compare.compare_lists(a, b, "vec_id", ["v"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - m1) / s1 * 0.5::DOUBLE, 6) AS l_quantity, round((l_tax - m2) / s2, 6) AS l_tax FROM lineitem, (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_tax) AS m2, stddev_pop(l_tax) AS s2 FROM lineitem)")
+def scaled_columns(spark, sf_dir):
+    """Columns shifted to mean 0 and scaled to deviations of 0.5 and 1."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    return datasets.normalised(rows, {"l_quantity": 0.5, "l_tax": 1.0}).withColumns({c: F.round(c, 6) for c in ("l_quantity", "l_tax")})
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 500")
+def event_limit(spark, sf_dir):
+    """The first 500 events, or all."""
+    return records.first_events(table(spark, sf_dir, "events").select("event_id", "user_id"), ["event_id"], 500)
+
+
+@query("SELECT conv_id, turn, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations")
+def cumulative_hits(spark, sf_dir):
+    """Whether an answer stands at this turn of a conversation or before it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").cast("int").alias("hit"))
+    return recurrent.cumulative_hits(rows, ["conv_id"], "turn", "hit").select("conv_id", "turn", "seen")
+
+
+@query("SELECT vec_id, pos, round(exp(v - m) / s, 9) AS p FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v, list_max(embedding)::DOUBLE AS m, list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))) AS s FROM embeddings)")
+def softmax_rows(spark, sf_dir):
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.softmax(F.col("embedding").cast("array<double>"))).alias("pos", "p"))
+    return p.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("p", 9).alias("p"))
+
+
 # --- ordered operators and array forms
 
 
@@ -537,6 +610,13 @@ def state_recurrence(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(recurrent.recurrence(values, F.exp(F.lit(-0.5)), F.lit(0.25)), 9).alias("state"))
 
 
+@query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, i, x, abs(x) AS dt, sum(abs(x)) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e) SELECT vec_id, round(sum(dt * x * exp(-coalesce(later, 0))), 8) AS state FROM c GROUP BY vec_id")
+def selective_recurrence(spark, sf_dir):
+    """The state after steps that the values themselves choose: dt = |x|."""
+    values = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(recurrent.selective_recurrence(values, F.transform(values, F.abs)), 8).alias("state"))
+
+
 @query(f"WITH {MODEL}, x AS (SELECT rk, CAST(sum(n) AS BIGINT) AS n FROM o WHERE split = 'test' GROUP BY rk) SELECT CAST(rk AS INT) AS rank, n, CAST(sum(n) OVER (ORDER BY rk) AS BIGINT) AS within FROM x")
 def rank_histogram(spark, sf_dir):
     """Positions by the rank of their true byte, and how many are at that rank or better (at most 256 rows)."""
@@ -606,20 +686,23 @@ def largest_file(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.max_by("doc_id", F.struct(F.octet_length("text"), -F.col("doc_id"))).alias("doc_id"))
 
 
-@query()
+@query("SELECT CAST(user_id AS VARCHAR) AS src_id, CAST(sum(strlen(line)) AS BIGINT) AS n, CAST(ceil(sum(strlen(line)) / 1024.0::DOUBLE) AS BIGINT) AS chunks, md5(string_agg(line, '' ORDER BY event_id)) AS digest FROM (SELECT user_id, event_id, concat_ws(',', event_id, event_type, props) || chr(10) AS line FROM events) GROUP BY user_id")
 def stream_chunks(spark, sf_dir):
-    """Events as a stream of JSON lines for each user: chunked in state, compressed, written, read back."""
+    """Events as a stream of lines for each user: chunked in state, compressed, written, read back and decoded. Each user's last event ends
+    their chunks, so that no byte waits for more."""
     from .streaming.chunks import compress_stream
 
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    line = F.concat_ws(",", F.col("event_type"), F.col("value").cast("string"), F.col("props"))
-    model = train_counts(source.select(line.cast("binary").alias("data")))
-    base = os.path.join(_shared(spark), f"stream-{uuid.uuid4().hex}")
+    line = F.concat(F.concat_ws(",", F.col("event_id").cast("string"), "event_type", "props"), F.lit("\n")).cast("binary").alias("data")
+    model, base = train_counts(source.select(line)), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last = source.groupBy("user_id").agg(F.max("event_id").alias("last"))
     # A stream of files needs a folder; the table's file is matched by name in its own.
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
-    rows = stream.select((F.col("user_id") % 16).cast("string").alias("src_id"), F.col("event_id").alias("seq"), F.concat(line, F.lit("\n")).cast("binary").alias("data"))
-    compress_stream(rows, model, f"{base}/out", f"{base}/state", 1024).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("src_id", "chunk_id", "n", F.length("stream").alias("compressed"))
+    rows = stream.join(last, "user_id").select(F.col("user_id").cast("string").alias("src_id"), F.col("event_id").alias("seq"), line, (F.col("event_id") == F.col("last")).alias("end"))
+    compress_stream(rows, model, f"{base}/out", f"{base}/state", 1024, end="end").awaitTermination()
+    back = codec.decompress(spark.read.parquet(f"{base}/out"), model)
+    sizes = back.groupBy("src_id").agg(F.sum(F.length("data")).alias("n"), F.count("*").alias("chunks"))
+    return chunks.joined(back, "src_id", "chunk_id", "data").join(sizes, "src_id").select("src_id", "n", "chunks", F.md5("data").alias("digest"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,3 +25,15 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(str(path))
     sc._octoweave_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir; a temporary one only where none is named."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if at.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="octoweave-"))
+            at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = at.get()
+    return named.rstrip("/")

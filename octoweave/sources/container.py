@@ -4,15 +4,15 @@ Layout, little-endian: magic, version u32, flags u32, uncompressed length u64, c
 fingerprint u8 and the fingerprint; the streams in chunk order; the index: ``IDX1``, a first byte for each chunk, offset deltas and stream
 lengths as variable-length integers, CRC-32 of the index from its mark on. With flag 1 the vocabulary (256 bits) follows the fingerprint.
 
-The sink writes one container for each task's range of chunks, and the source reads a folder of them: the driver sees indexes only, tasks
-read the byte ranges of their chunks.
+The sink writes one container for each task's range of chunks, and the source reads a folder of them: the driver reads the fixed headers
+only, tasks read the index of their file and the byte ranges of their chunks. Paths may be mounted folders or URIs that pyarrow opens.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass, field
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.scalars import read_uvarint, uvarint
+from . import files
 
 # Fixed values of the format; a reader of other files of this layout names their magic.
 MAGIC, VERSION, MARK, HAS_VOCABULARY = b"OWC1", 1, b"IDX1", 1
@@ -56,10 +57,9 @@ def index(first: list[int], sizes: list[int]) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def read_meta(path: str, magic: bytes = MAGIC) -> Meta:
-    """Header and index; the index is the last mark whose check value holds, so that a mark among first bytes misleads nothing."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+def read_header(path: str, magic: bytes = MAGIC) -> Meta:
+    """The header alone: no index."""
+    with files.reading(path) as f:
         head = f.read(_HEAD.size)
         if len(head) < _HEAD.size or head[:4] != magic:
             raise ContainerError("not a container: the magic differs")
@@ -67,8 +67,15 @@ def read_meta(path: str, magic: bytes = MAGIC) -> Meta:
         if version != VERSION:
             raise ContainerError(f"version {version} is unknown")
         fingerprint, vocabulary = f.read(fp), f.read(32) if flags & HAS_VOCABULARY else b""
-        meta = Meta(n, chunk_len, chunks, last, fingerprint, vocabulary, payload=_HEAD.size + fp + len(vocabulary))
-        most = min(size - meta.payload, 4 + chunks * 21 + 4)  # no index of so many chunks is longer
+    return Meta(n, chunk_len, chunks, last, fingerprint, vocabulary, payload=_HEAD.size + fp + len(vocabulary))
+
+
+def read_meta(path: str, magic: bytes = MAGIC) -> Meta:
+    """Header and index; the index is the last mark whose check value holds, so that a mark among first bytes misleads nothing."""
+    size, meta = files.size_of(path), read_header(path, magic)
+    chunks = meta.n_chunks
+    most = max(min(size - meta.payload, 4 + chunks * 21 + 4), 0)  # no index of so many chunks is longer
+    with files.reading(path) as f:
         f.seek(size - most)
         tail = f.read()
     at, seen = tail.rfind(MARK), False
@@ -99,7 +106,7 @@ def read_meta(path: str, magic: bytes = MAGIC) -> Meta:
 def write_file(path: str, meta: Meta, streams, magic: bytes = MAGIC) -> None:
     """Writes chunks (first byte, stream) in order; memory holds one at a time."""
     first, sizes = [], []
-    with open(path, "wb") as f:
+    with files.writing(path) as f:
         f.write(header(meta, magic))
         for byte, stream in streams:
             first.append(byte or 0)
@@ -108,52 +115,40 @@ def write_file(path: str, meta: Meta, streams, magic: bytes = MAGIC) -> None:
         f.write(index(first, sizes))
 
 
-def plain(path: str) -> str:
-    """A path that files open by: executors reach containers through a folder they all mount."""
-    path = path.removeprefix("file://")
-    if "://" in path:
-        raise ContainerError(f"{path!r} is no mounted folder; copy it to one, or keep chunk rows as Parquet there")
-    return path
-
-
-def _files(path: str) -> list[str]:
-    path = plain(path)
-    return sorted(glob.glob(os.path.join(path, "*.owc"))) if os.path.isdir(path) else [path]
-
-
 class _Range(InputPartition):
-    def __init__(self, file, start, chunks):
+    def __init__(self, file, base, first, last):
         super().__init__(0)
-        self.file, self.start, self.chunks = file, start, chunks
+        self.file, self.base, self.first, self.last = file, base, first, last
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.magic = plain(options["path"]), options.get("magic", MAGIC.decode()).encode("latin-1")
+        self.path, self.magic = options["path"], options.get("magic", MAGIC.decode()).encode("latin-1")
         self.each = int(options.get("chunksPerTask", 4096))
         self.fingerprint = options.get("fingerprint")
         self.only = {int(x) for x in options["chunks"].split(",")} if options.get("chunks") else None
 
     def partitions(self):
         out, base = [], 0
-        for file in _files(self.path):
-            meta = read_meta(file, self.magic)
+        for file, _ in files.listed(self.path, ".owc"):
+            meta = read_header(file, self.magic)
             if self.fingerprint and meta.fingerprint.hex() != self.fingerprint:
                 raise ContainerError("the model is not the one that compressed this")
-            rows = []
-            for i in range(meta.n_chunks):
-                n = meta.last_chunk_len if i == meta.n_chunks - 1 else meta.chunk_len
-                if self.only is None or base + i in self.only:
-                    rows.append((base + i, n, meta.first[i], meta.payload + meta.offsets[i], meta.sizes[i]))
-            out += [_Range(file, base, rows[i : i + self.each]) for i in range(0, len(rows), self.each)]
+            for i in range(0, meta.n_chunks, self.each):
+                last = min(i + self.each, meta.n_chunks)
+                if self.only is None or any(base + i <= c < base + last for c in self.only):
+                    out.append(_Range(file, base, i, last))
             base += meta.n_chunks
         return out
 
     def read(self, partition):
-        with open(partition.file, "rb") as f:
-            for chunk, n, first, at, size in partition.chunks:
-                f.seek(at)
-                yield chunk, n, first if n else None, f.read(size)
+        meta = read_meta(partition.file, self.magic)
+        with files.reading(partition.file) as f:
+            for i in range(partition.first, partition.last):
+                if self.only is None or partition.base + i in self.only:
+                    n = meta.last_chunk_len if i == meta.n_chunks - 1 else meta.chunk_len
+                    f.seek(meta.payload + meta.offsets[i])
+                    yield partition.base + i, n, meta.first[i] if n else None, f.read(meta.sizes[i])
 
 
 @dataclass
@@ -162,36 +157,58 @@ class _Part(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
+    """Tasks write hidden files as their rows come, in order of chunk_id; the commit gives them names, and with ``overwrite`` removes what
+    the folder held before."""
+
     def __init__(self, options, overwrite):
-        self.path, self.overwrite = plain(options["path"]), overwrite
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.chunk_len = int(options["chunkLen"])
         self.fingerprint = bytes.fromhex(options.get("fingerprint", ""))
         self.vocabulary = bytes.fromhex(options.get("vocabulary", ""))
         self.magic = options.get("magic", MAGIC.decode()).encode("latin-1")
 
     def write(self, rows):
-        rows = sorted(rows, key=lambda r: r["chunk_id"])
-        if not rows:
-            return _Part(None)
-        sizes = [r["n"] for r in rows]
-        if any(n != self.chunk_len for n in sizes[:-1]):
-            raise ContainerError("only a container's last chunk may be shorter: sort chunk rows by chunk_id into ranges")
-        meta = Meta(sum(sizes), self.chunk_len, len(rows), sizes[-1], self.fingerprint, self.vocabulary)
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f".{rows[0]['chunk_id']:020d}-{os.getpid()}.tmp")
-        write_file(name, meta, ((r["first_byte"], r["stream"]) for r in rows), self.magic)
-        return _Part(name)
+        first, sizes, n, seen, f = [], [], self.chunk_len, -1, None
+        body = name = None
+        try:
+            for r in rows:
+                if n != self.chunk_len or r["chunk_id"] <= seen:
+                    raise ContainerError("only a container's last chunk may be shorter: sort chunk rows by chunk_id into ranges")
+                if f is None:
+                    name = f"{self.path}/.{r['chunk_id']:020d}-{uuid.uuid4().hex}.tmp"
+                    body = name + ".body"
+                    f = files.writing(body)
+                n, seen = r["n"], r["chunk_id"]
+                first.append(r["first_byte"] or 0)
+                sizes.append(len(r["stream"]))
+                f.write(r["stream"])
+            if f is None:
+                return _Part(None)
+            f.close()
+            meta = Meta((len(sizes) - 1) * self.chunk_len + n, self.chunk_len, len(sizes), n, self.fingerprint, self.vocabulary)
+            # The header counts what the streams have told, and comes before them.
+            with files.writing(name) as out, files.reading(body) as streams:
+                out.write(header(meta, self.magic))
+                while piece := streams.read(1 << 20):
+                    out.write(piece)
+                out.write(index(first, sizes))
+            return _Part(name)
+        finally:
+            if body:
+                files.remove(body)
 
     def commit(self, messages):
+        if self.overwrite and files.located(self.path)[0].get_file_info(files.located(self.path)[1]).type.name == "Directory":
+            for old, _ in files.listed(self.path, ".owc"):
+                files.remove(old)
         for m in messages:
             if m is not None and m.path:
-                folder, name = os.path.split(m.path)
-                os.replace(m.path, os.path.join(folder, name.lstrip(".").split("-")[0] + ".owc"))
+                files.move(m.path, f"{self.path}/{os.path.basename(m.path).lstrip('.').split('-')[0]}.owc")
 
     def abort(self, messages):
         for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and m.path:
+                files.remove(m.path)
 
 
 class ContainerSource(DataSource):
@@ -200,7 +217,7 @@ class ContainerSource(DataSource):
         return "chunk_container"
 
     def schema(self):
-        return "chunk_id int, n int, first_byte int, stream binary"
+        return "chunk_id long, n int, first_byte int, stream binary"
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -214,10 +231,11 @@ def ranged(chunks: DataFrame, parts: int) -> DataFrame:
     return chunks.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id")
 
 
-def save(chunks: DataFrame, path: str, chunk_len: int, fingerprint: bytes = b"", vocabulary: bytes = b"") -> None:
-    """Writes compressed rows of one source, whose chunks were ``ranged``, as a folder of containers: one for each range."""
+def save(chunks: DataFrame, path: str, chunk_len: int, fingerprint: bytes = b"", vocabulary: bytes = b"", mode: str = "append") -> None:
+    """Writes compressed rows of one source, whose chunks were ``ranged``, as a folder of containers: one for each range. ``mode``: append
+    or overwrite."""
     chunks.sparkSession.dataSource.register(ContainerSource)
-    rows = chunks.select("chunk_id", "n", "first_byte", "stream").write.format("chunk_container").mode("append")
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "n", "first_byte", "stream").write.format("chunk_container").mode(mode)
     rows.options(path=path, chunkLen=chunk_len, fingerprint=fingerprint.hex(), vocabulary=vocabulary.hex()).save()
 
 
@@ -229,5 +247,5 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """A row for each file of a container: its header's numbers."""
-    rows = [(os.path.basename(f), m.uncompressed, m.chunk_len, m.n_chunks, m.last_chunk_len, m.fingerprint.hex()) for f in _files(path) for m in [read_meta(f)]]
+    rows = [(os.path.basename(f), m.uncompressed, m.chunk_len, m.n_chunks, m.last_chunk_len, m.fingerprint.hex()) for f, _ in files.listed(path, ".owc") for m in [read_header(f)]]
     return spark.createDataFrame(rows, "file string, uncompressed_len long, chunk_len int, n_chunks int, last_chunk_len int, fingerprint string")

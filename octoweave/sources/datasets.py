@@ -23,18 +23,27 @@ _TO_NUMPY = {"float": "<f4", "double": "<f8", "tinyint": "|i1", "smallint": "<i2
 
 
 def schema_of_descr(text: str) -> T.StructType:
-    """A record description ([name, type] or [name, type, shape] lists, as JSON) as a schema; shaped fields are arrays."""
+    """A record description ([name, type] or [name, type, shape] lists, as JSON) as a schema; shaped fields are arrays that keep their shape
+    as metadata."""
     out = T.StructType()
     for name, kind, *shape in json.loads(text):
         plain = _TO_SPARK[kind.lstrip("<>|=")]
         for _ in shape[0] if shape else ():
             plain = T.ArrayType(plain)
-        out.add(name, plain)
+        out.add(name, plain, metadata={"shape": shape[0]} if shape else None)
     return out
 
 
 def descr_of_schema(schema: T.StructType) -> str:
-    return json.dumps([[f.name, _TO_NUMPY[f.dataType.simpleString()]] for f in schema])
+    """The way back; an array without a shape has one of unknown lengths, -1."""
+    out = []
+    for f in schema:
+        kind, depth = f.dataType, 0
+        while isinstance(kind, T.ArrayType):
+            kind, depth = kind.elementType, depth + 1
+        shape = list((f.metadata or {}).get("shape", [-1] * depth))
+        out.append([f.name, _TO_NUMPY[kind.simpleString()], *([shape] if depth else [])])
+    return json.dumps(out)
 
 
 def stacked(fields: list[Column]) -> Column:
@@ -132,11 +141,3 @@ def turbulence(spark: SparkSession, size: int, peak: float = 4.0, seeds: tuple[i
                 yield pa.record_batch({"field": pa.array([name] * len(value)), "cell": np.arange(len(value)), "value": value.astype(np.float32)})
 
     return spark.createDataFrame(list(zip(names, seeds)), "field string, seed int").mapInArrow(make, "field string, cell long, value float")
-
-
-def read_root(*_args, **_kw):
-    raise NotImplementedError("ROOT trees need a reader library that is not installed; convert to Parquet and use spark.read.parquet")
-
-
-def read_hdf5(*_args, **_kw):
-    raise NotImplementedError("HDF5 files need a reader library that is not installed; convert to Parquet and use spark.read.parquet")

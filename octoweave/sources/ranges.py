@@ -1,14 +1,12 @@
-"""Byte ranges of large files: each task seeks to its own chunks, so that no file is held whole."""
+"""Byte ranges of large files: each task seeks to its own chunks, so that no file is held whole. Paths may be mounted folders or
+URIs that pyarrow opens."""
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .container import plain
+from . import files
 
 
 class _Span(InputPartition):
@@ -19,21 +17,20 @@ class _Span(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.length = plain(options["path"]), int(options["chunkLen"])
+        self.path, self.length = options["path"], int(options["chunkLen"])
         self.each = int(options.get("chunksPerTask", 1024))
         self.most = int(options.get("maxChunks", 0))
 
     def partitions(self):
-        files = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else [self.path]
         out = []
-        for f in files:
-            n = -(-os.path.getsize(f) // self.length)
+        for f, size in files.listed(self.path):
+            n = -(-size // self.length)
             n = min(n, self.most) if self.most else n
             out += [_Span(f, i, min(i + self.each, n)) for i in range(0, n, self.each)]
         return out
 
     def read(self, partition):
-        with open(partition.file, "rb") as f:
+        with files.reading(partition.file) as f:
             f.seek(partition.first * self.length)
             for i in range(partition.first, partition.last):
                 yield partition.file, i, f.read(self.length)
@@ -45,7 +42,7 @@ class RangeSource(DataSource):
         return "byte_ranges"
 
     def schema(self):
-        return "src_id string, chunk_id int, data binary"
+        return "src_id string, chunk_id long, data binary"
 
     def reader(self, schema):
         return _Reader(self.options)

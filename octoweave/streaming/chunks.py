@@ -12,27 +12,35 @@ STATE = "pending binary, chunk long"
 CHUNK = "src_id string, chunk_id long, data binary"
 
 
-def chunk_stream(stream: DataFrame, chunk_len: int, key: str = "src_id", order: str = "seq", data: str = "data") -> DataFrame:
-    """(src_id, chunk_id, data) of whole chunks. Within a micro-batch a source's values join in ``order``; what does not fill a chunk waits:
-    one partial chunk for each source, whatever has passed."""
+def chunk_stream(stream: DataFrame, chunk_len: int, key: str = "src_id", order: str = "seq", data: str = "data", end: str | None = None, idle: int | None = None) -> DataFrame:
+    """(src_id, chunk_id, data): whole chunks as they fill. Within a micro-batch a source's values join in ``order``; what does not fill a
+    chunk waits: one partial chunk for each source, whatever has passed. It leaves, as a shorter chunk, with the row whose column
+    ``end`` is true, or when the source has been silent for ``idle`` milliseconds; with neither it waits for ever. What a source sends
+    after that begins a new chunk."""
 
     def fill(name, frames, state):
         pending, chunk = state.get if state.exists else (b"", 0)
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        pending = bytes(pending) + b"".join(bytes(v) for v in rows[data] if v is not None)
-        out = []
-        while len(pending) >= chunk_len:
-            out.append((str(name[0]), chunk, pending[:chunk_len]))
-            pending, chunk = pending[chunk_len:], chunk + 1
-        state.update((pending, chunk))
+        last = state.hasTimedOut
+        parts = [bytes(pending)]
+        if not last:
+            rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+            parts += [bytes(v) for v in rows[data] if v is not None]
+            last = bool(end and rows[end].fillna(False).any())
+        whole = b"".join(parts)
+        cuts = range(0, len(whole) if last else len(whole) // chunk_len * chunk_len, chunk_len)
+        out = [(str(name[0]), chunk + i, whole[at : at + chunk_len]) for i, at in enumerate(cuts)]
+        state.update((b"" if last else whole[len(whole) // chunk_len * chunk_len :], chunk + len(out)))
+        if idle and not last:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["src_id", "chunk_id", "data"])
 
-    return stream.select(key, order, data).groupBy(key).applyInPandasWithState(fill, CHUNK, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.select(key, order, data, *([end] if end else [])).groupBy(key).applyInPandasWithState(fill, CHUNK, STATE, "append", timeout)
 
 
-def compress_stream(stream: DataFrame, model, path: str, checkpoint: str, chunk_len: int, once: bool = True):
+def compress_stream(stream: DataFrame, model, path: str, checkpoint: str, chunk_len: int, once: bool = True, end: str | None = None, idle: int | None = None):
     """Starts a query that writes compressed chunks as Parquet, exactly once."""
-    chunks = chunk_stream(stream, chunk_len)
+    chunks = chunk_stream(stream, chunk_len, end=end, idle=idle)
     out = compress(chunks, model).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (out.trigger(availableNow=True) if once else out).start()
 

@@ -106,3 +106,29 @@ def test_comparisons_treat_nan_as_they_should(spark):
     assert compare.compare_lists(a, c, "id", ["v"]).first()["status"] == "lengths differ"
     with pytest.raises(ValueError):
         compare.compare_records(a, a.drop("x"), ["id"])
+
+
+def test_comparisons_see_rows_that_one_side_lacks(spark):
+    inf = float("inf")
+    a = spark.createDataFrame([(i, float(i), [1.0, inf]) for i in range(5)], "id long, x double, v array<double>")
+    b = a.where("id < 3").union(spark.createDataFrame([(9, 9.0, None)], a.schema))
+    got = compare.compare_columns(a, b, ["id"], ["x"]).first()
+    assert (got["n"], got["n_equal"], got["equal"]) == (6, 3, False)
+    assert compare.compare_lists(a, b, "id", ["v"]).first()[:] == ("v", "rows differ", 6, 3)
+    assert {tuple(r) for r in compare.compare_records(a, b, ["id"]).collect()} == {("x", 6, 3, "rows differ"), ("v", 6, 3, "rows differ")}
+    assert [tuple(r)[:3] for r in compare.report(compare.compare_records(a, a, ["id"])).collect()] == [(1, "v", "ok"), (2, "x", "ok"), (3, "OVERALL", "ok")]
+    pairs = spark.createDataFrame([(1.0, inf), (inf, 1.0), (inf, inf), (-inf, inf), (1.0, 1.0 + 1e-9), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in pairs.select(compare.close(F.col("a"), F.col("b"))).collect()] == [False, False, True, False, True, False]
+    assert compare.compare_records(a.limit(0), a.limit(0), ["id"]).count() == 2
+
+
+def test_a_vocabulary_rejects_what_it_lacks(spark):
+    have = counts.byte_counts(spark.createDataFrame([(b"ab",)], "data binary")).select("byte")
+    seen = counts.byte_counts(spark.createDataFrame([(b"abz",)], "data binary")).select("byte")
+    assert [r["byte"] for r in seen.join(have, "byte", "left_anti").collect()] == [ord("z")]
+
+
+def test_less_than_one_row_is_an_error_where_parts_are_dropped(spark):
+    df = spark.createDataFrame([(1, b"abc")], "src_id long, data binary")
+    with pytest.raises(Exception, match="less than one row"):
+        records.flat_records(df, ["a"], exact=False).collect()

@@ -49,3 +49,20 @@ def test_scans_read_only_their_columns(spark, sf_dir, name, columns):
     plan = core.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     read = {c.split(":")[0] for schema in re.findall(r"ReadSchema: struct<(.*?)>(?:\n|,|$)", plan) for c in re.findall(r"\w+:", schema)}
     assert read and {c.rstrip(":") for c in read} <= columns | {"vec_id"}, plan
+
+
+def test_queries_without_sql_agree_with_plain_loops(spark, sf_dir):
+    import zlib
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert {r["page_id"]: r["crc"] for r in core.chunk_crc32(spark, sf_dir).collect()} == {r["page_id"]: zlib.crc32(r["html"].encode()) for r in pages}
+    texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"]}
+    small = {r["doc_id"]: r for r in core.compress_sizes(spark, sf_dir).collect()}
+    assert {k: v["original"] for k, v in small.items()} == {k: len(v) for k, v in texts.items()}
+    total = core.compression_ratio(spark, sf_dir).first()
+    assert total["compressed"] == sum(r["compressed"] for r in small.values()) and total["ratio"] == total["original"] / total["compressed"]
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    files = core.container_metadata(spark, sf_dir).collect()
+    assert sum(r["n_chunks"] for r in files) == len(vectors) and sum(r["uncompressed_len"] for r in files) == sum(4 * len(r["embedding"]) for r in vectors)
+    sizes = {r["codec"]: r["compressed"] for r in core.baseline_zlib_lzma(spark, sf_dir).collect()}
+    assert sizes["zlib"] == sum(len(zlib.compress(t, 9)) for t in texts.values())

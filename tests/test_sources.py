@@ -130,23 +130,63 @@ def test_empty_sources_are_an_error(spark):
         chunks.chunk_plan(spark.createDataFrame([(0,)], "n_bytes long"), seq_size=3).collect()
 
 
-def test_streams_lose_and_repeat_no_byte(spark, tmp_path):
+@pytest.mark.parametrize("marked", [True, False])
+def test_streams_lose_and_repeat_no_byte(spark, tmp_path, marked):
     from octoweave.streaming.chunks import compress_stream
 
-    rows = [(f"s{i % 3}", i, f"value {i} ".encode()) for i in range(300)]
-    for part in range(3):
-        spark.createDataFrame(rows[part * 100 : part * 100 + 100], "src_id string, seq long, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("src_id string, seq long, data binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = [(f"s{i % 3}", i, f"value {i} ".encode() if i < 300 else None, i >= 300) for i in range(303)] + [("tiny", 0, b"x", True)]
+    schema = "src_id string, seq long, data binary, end boolean"
+    for part in range(4):
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     model = CountModel(np.ones((1, 256), np.int64))
-    compress_stream(stream, model, str(tmp_path / "out"), str(tmp_path / "state"), 64).awaitTermination()
+    compress_stream(stream, model, str(tmp_path / "out"), str(tmp_path / "state"), 64, end="end" if marked else None).awaitTermination()
     out = codec.decompress(spark.read.parquet(str(tmp_path / "out")), model).collect()
-    for s in range(3):
-        whole = b"".join(v for k, _, v in rows if k == f"s{s}")
-        got = b"".join(bytes(r["data"]) for r in sorted((r for r in out if r["src_id"] == f"s{s}"), key=lambda r: r["chunk_id"]))
-        assert got == whole[: len(whole) // 64 * 64]
+    for s in {r[0] for r in rows}:
+        whole = b"".join(v or b"" for k, _, v, _ in rows if k == s)
+        got = sorted((r["chunk_id"], bytes(r["data"])) for r in out if r["src_id"] == s)
+        assert [i for i, _ in got] == list(range(len(got)))
+        assert b"".join(v for _, v in got) == (whole if marked else whole[: len(whole) // 64 * 64])
 
 
-def test_containers_live_in_mounted_folders():
-    assert container.plain("file:///a/b") == "/a/b"
-    with pytest.raises(container.ContainerError, match="mounted"):
-        container.plain("hdfs://host/a")
+def test_silent_sources_give_their_tail_after_a_while(spark, tmp_path):
+    import time
+
+    from octoweave.streaming.chunks import compress_stream
+
+    spark.createDataFrame([("a", 0, b"tail")], "src_id string, seq long, data binary").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("src_id string, seq long, data binary").parquet(str(tmp_path / "in"))
+    model = CountModel(np.ones((1, 256), np.int64))
+    q = compress_stream(stream, model, str(tmp_path / "out"), str(tmp_path / "state"), 64, once=False, idle=1000)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if (tmp_path / "out" / "_spark_metadata").exists() and (rows := spark.read.schema("chunk_id long, n int").parquet(str(tmp_path / "out")).collect()):
+                break
+    finally:
+        q.stop()
+    assert [(r["chunk_id"], r["n"]) for r in rows] == [(0, 4)]
+
+
+def test_containers_and_ranges_take_uris_and_overwrite(spark, tmp_path, corpus):
+    rows = [(i, corpus[i * 1000 : i * 1000 + 1000]) for i in range(11)]
+    df, path = spark.createDataFrame(rows, "chunk_id long, data binary"), f"file://{tmp_path}/c"
+    model = train_counts(df)
+    small = codec.compress(container.ranged(df, 3), model)
+    container.save(small, path, 1000, model.fingerprint)
+    container.save(small, path, 1000, model.fingerprint, mode="overwrite")
+    back = codec.decompress(container.load(spark, path, chunksPerTask=2), model).orderBy("chunk_id").collect()
+    assert b"".join(bytes(r["data"]) for r in back) == corpus and [r["chunk_id"] for r in back] == list(range(11))
+    assert not [f for f in (tmp_path / "c").iterdir() if "tmp" in f.name]
+    (tmp_path / "a.bin").write_bytes(corpus)
+    assert b"".join(bytes(r["data"]) for r in ranges.chunks_of(spark, f"file://{tmp_path}/a.bin", 1000).orderBy("chunk_id").collect()) == corpus
+    with pytest.raises(Exception, match="sort chunk rows"):
+        container.save(codec.compress(df.orderBy(df.chunk_id.desc()).coalesce(1), model), path, 1000)
+
+
+def test_lanes_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(codec, "TABLE_BYTES", 8000)
+    sizes = np.array([100, 1, 2, 900, 5, 0, 3000, 4] + [1] * 5000)
+    runs = list(codec.lane_runs(sizes))
+    assert [a for a, _ in runs] == np.r_[0, np.cumsum([n for _, n in runs])][:-1].tolist() and sum(n for _, n in runs) == len(sizes)
+    assert all(n == 1 or n <= codec.LANES and sizes[a : a + n].max() * n * 8 <= 8000 for a, n in runs)
