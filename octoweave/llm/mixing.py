@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WEIGHTS, REPEATS = (5, 2, 1), 3
 BLOCK, LEAST_BLOCKS, SHARD, SEED = 64, 4096, 1 << 20, 17
 MAX_SOURCES = 200_000
@@ -98,15 +100,21 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = RE
     others = [c for c in docs.columns if c not in own] if carry else []
     turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5("text")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), turn.alias("turn"), *([F.struct(*others).alias("row_")] if others else []))
-    keyed = sized.withColumns({"source_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))}).drop("source")
+    # Texts are counted once, and once more only where whole rows are carried: a table of a few numbers a row serves the rest.
+    sized = materialise(docs.select("doc_id", "source", size.alias("size"), turn.alias("turn")), "sized")
+    whole = docs.select("doc_id", "source", size.alias("size"), turn.alias("turn"), F.struct(*others).alias("row_")) if others else sized
+    keyed = lambda rows: rows.withColumns({"source_null": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))}).drop("source")
     # at most MAX_SOURCES rows of a name and five numbers
-    placed = keyed.join(F.broadcast(plan(sized, block, repeats)), ["source_null", "source_key"])
-    placed = placed.withColumn("source_key", F.concat(F.col("source_null").cast("string"), F.col("source_key"))).withColumn("shard", F.pmod(F.xxhash64("turn"), "shards"))
-    shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"), F.first("block_words").alias("block_words"))
+    planned = F.broadcast(plan(sized, block, repeats))
+
+    def place(rows: DataFrame) -> DataFrame:
+        placed = keyed(rows).join(planned, ["source_null", "source_key"])
+        return placed.withColumn("source_key", F.concat(F.col("source_null").cast("string"), F.col("source_key"))).withColumn("shard", F.pmod(F.xxhash64("turn"), "shards"))
+
+    shards = place(sized).groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"), F.first("block_words").alias("block_words"))
     quotas = shards.groupBy("source_key").applyInPandas(_deal(), "source_key string, shard long, shard_size long, quota long")
-    turns = Window.partitionBy("source_key", "shard").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = placed.join(quotas.hint("merge"), ["source_key", "shard"]).withColumn("before", F.sum("size").over(turns) - F.col("size"))
+    turns = Window.partitionBy("source_key", "shard").orderBy("turn", "size", *(F.xxhash64("row_"),) * bool(others)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = place(whole).join(quotas.hint("merge"), ["source_key", "shard"]).withColumn("before", F.sum("size").over(turns) - F.col("size"))
     quota = F.least(F.col("quota"), F.col("shard_size") * repeats)
     passes = F.when(F.col("shard_size") > 0, F.floor(quota / F.col("shard_size"))).otherwise(0).cast("long")
     rest = quota - passes * F.col("shard_size")
