@@ -27,6 +27,8 @@ WINDOW, LITERAL, COVERAGE, AGREE = 5, 3, 0.5, 0.8
 #: Tokens by which the shift may change from one hit of a chain to the next.
 DRIFT = 8
 PART_BYTES = 32 << 20
+#: Window pairs of texts and items in memory at once, one text's at least.
+PAIRS = 1 << 20
 U = np.uint64
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
@@ -115,6 +117,15 @@ class _View:
         best: dict = {}
         if not len(lo):
             return best
+        # Items of one template meet a text's window together; so many pairs at once, and whole texts.
+        text = np.searchsorted(at, place, "right") - 1
+        ends = np.r_[np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)]
+        for i, j in K.slices(np.r_[0, np.cumsum(count)[ends - 1]], PAIRS):
+            some = slice(int(ends[i - 1]) if i else 0, int(ends[j - 1]))
+            self._align(best, lo[some], count[some], place[some], token, at)
+        return best
+
+    def _align(self, best: dict, lo: np.ndarray, count: np.ndarray, place: np.ndarray, token: np.ndarray, at: np.ndarray) -> None:
         hit, here = K.ragged(lo, count), np.repeat(place, count)
         item, there = self.item[hit], self.place[hit]
         text = np.searchsorted(at, here, "right") - 1
@@ -134,7 +145,6 @@ class _View:
                 size = int(self.at[item[a] + 1] - self.at[item[a]])
                 for chain, covered in self._chains(there[a:b], here[a:b], size):
                     self._try(best, (int(text[a]), int(item[a])), covered, there[a:b][chain], here[a:b][chain], token)
-        return best
 
     def _enough(self, new: np.ndarray, item: np.ndarray, there: np.ndarray):
         """(group, its range, covered tokens) of the groups whose hits cover COVERAGE of their item."""
