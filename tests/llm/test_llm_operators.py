@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -170,6 +172,45 @@ def test_passages_are_found_whatever_earlier_documents_hold_of_them(spark):
         assert all(got[100 * g + i] == 100 * g + i for g in range(20) for i in range(4))
 
 
+def test_a_passage_is_found_beside_many_documents_that_hold_one_shingle_of_it(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    passage = word(55)
+    rows = [(i, " ".join(word(30) + passage[(p := i % 51) : p + 5] + word(30))) for i in range(3060)]
+    rows += [(d, " ".join(word(40) + passage + word(40))) for d in (5000, 5001)]
+    got = {r["doc_id"]: r["class_id"] for r in passages.passage_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[5001] == 5000 and all(got[i] == i for i in range(3060))
+
+
+def test_recall_of_edited_passages_and_unlike_ones_left_alone(spark):
+    """Windows of 60 words with four words changed, pairs by pair; the truth is the best similarity of any two windows of WINDOW shingles."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    rows, near, far = [], [], []
+    for g in range(150):
+        p = word(60)
+        q = list(p)
+        for at in rng.choice(60, int(rng.integers(1, 5)), replace=False):
+            q[at : at + 1] = word(int(rng.integers(0, 3)))
+        one, two = word(50) + p + word(50), word(30) + q + word(70)
+        sides = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in (one, two)]
+        windows = [[set(t[i : i + 46]) for i in range(0, len(t) - 45)] for t in sides]
+        shared = max((len(a & b) for a in windows[0] for b in windows[1] if a & b), default=0)
+        (near if shared / (92 - shared) >= 0.8 else far).append(g)
+        rows += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(two))]
+    got = {r["doc_id"]: r["class_id"] for r in passages.passage_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    found = sum(got[2 * g + 1] == 2 * g for g in near)
+    assert len(near) > 20 and len(far) > 20 and found >= 0.9 * len(near) and all(got[2 * g + 1] == 2 * g + 1 for g in far)
+
+
+def test_texts_that_share_a_doc_id_are_each_compared(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join("w%d" % v for v in rng.integers(0, 10**6, n))
+    one, two = text(60), text(60)
+    rows = [(1, one), (1, text(300) + " " + two), (2, text(9) + " " + one), (3, two + " " + text(9)), (3, two + " " + text(9)), (4, text(80))]
+    assert {r["doc_id"]: r["class_id"] for r in passages.passage_dedup(spark.createDataFrame(rows, DOCS)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_compact_windows_are_the_wide_ranges_of_the_tree():
     rng = np.random.default_rng(1)
     shingles = rng.integers(0, 2**63, 400).astype(np.uint64)
@@ -314,22 +355,25 @@ def test_suffixes_agree_with_brute_force(spark, sample, monkeypatch):
 
 
 def test_licenses_agree_with_brute_force(spark, sample):
-    rows = sample + [(9100, "x\nReleased, under the MIT license! Under the mit LICENSE\ncc by nc\nCC BY-NC cc by nc"), (9101, "This WORK is licensed under the GNU general public license (version 3)."), (9102, "under the KIT license under\nthe mit license"), (9103, "unde r the mit license"), (9104, "mit under license")]
+    rows = sample + [(9100, "x\nReleased, under the MIT license! Under the mit LICENSE\ncc by nc\nCC BY-NC cc by nc"), (9101, "This WORK is licensed under the GNU general public license (version 3)."), (9102, "under the KIT license under\nthe mit license"), (9103, "unde r the mit license"), (9104, "mit under license"), *[(9110 + i, "\n".join("// " + x for x in textwrap.wrap(text.capitalize() + ".", 60))) for i, (_, text) in enumerate(licenses.TEMPLATES)],
+             (9200, "intro " * 37 + licenses.TEMPLATES[2][1]), (9201, " ".join(w + " filler" * 40 for w in licenses.TEMPLATES[1][1].split()))]
     got = Counter(tuple(r) for r in licenses.scan(frame(spark, rows)).collect())
     want = Counter()
     for i, t in rows:
         w = [x.decode() for x in words(t)]
         places = [(p, label) for phrase, label in licenses.PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
         met = {}
-        for line in (t or "").split("\n"):
-            have = {x.decode() for x in words(line)}
-            for _, label, need_words, need in licenses.template_sets():
+        for _, label, need_words, need, width in licenses.template_sets():
+            for j in range(0, len(w), width):
+                have = set(w[j : j + 2 * width])
                 if len(have & set(need_words)) >= need:
                     met[label] = max(met.get(label, 0), len(have & set(need_words)) / len(need_words))
         base = sorted({label for _, label in places})
         at = [p for p, _ in places]
         want[(i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *met})), 1.0 if at else max(met.values(), default=0.0))] += 1
     assert got == want
+    labels = {k[0]: k[6].split(",") for k in got}
+    assert all(label in labels[9110 + i] for i, (label, _) in enumerate(licenses.TEMPLATES)) and "mit" in labels[9200] and labels[9201] == [""]
     assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -373,6 +417,14 @@ def test_models_learn_from_rows_that_are_not_held_out(spark, module, run, label)
         assert sorted((str(r["doc_id"]), r["score"]) for r in run(df, flipped).collect()) == sorted((str(r["doc_id"]), r["score"]) for r in out)
 
 
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] + [(5, "again"), (6, None), (7, "long " * 99)], DOCS)
+    labels = spark.range(20_200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    fit = lambda rows: {r["doc_id"]: r["text"] for r in common.labelled_sample(docs, labels, "toxic", rows, 100).collect()}
+    free = {r["id"] for r in spark.range(200).where(~common.held_out("id")).collect()}
+    assert set(fit(1000)) == free and len(fit(100)) == 100 and set(fit(100)) < free and fit(1000).get(5, "again") == "again"
+
+
 @pytest.mark.parametrize("run", [quality.quality, toxicity.toxicity])
 def test_models_without_labels_or_rows(spark, run):
     df, none = frame(spark, [(1, "a b c"), (2, None)]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -416,12 +468,34 @@ def test_trees_fit_what_one_split_cannot():
     assert ((forest.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
 
 
+def test_words_of_long_texts_are_those_of_their_pieces(monkeypatch):
+    import pyarrow as pa
+
+    K = toxicity.K
+    rng = np.random.default_rng(3)
+    texts = [" ".join("x" * int(n) for n in rng.integers(1, 9, 400)), "", "y" * 500, "\u00e9t\u00e9 " * 60, None, "end", "z" * 129 + " z", "a"]
+    data, off = K.text_buffer(pa.array(texts))
+    whole = [*K.word_spans(data, off), K.words_of(data, off)[0]]
+    plain = [m.span() for i, j in zip(off, off[1:]) for m in [*re.finditer(rb"[0-9A-Za-z\x80-\xff]+", data[i:j].tobytes())]]
+    assert [b - a for a, b in plain] == (whole[1] - whole[0]).tolist()
+    for piece in (16, 64, 100, 1000):
+        monkeypatch.setattr(K, "PIECE_BYTES", piece)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, [*K.word_spans(data, off), K.words_of(data, off)[0]]))
+
+
 # --- 9
 
 
 def shingles(text):
     w = words(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (Counter([tuple(w)]) if w else Counter())
+
+
+def alike(a, b):
+    """Weighted Jaccard similarity of two counters, each shingle weighing log2(1 + n)."""
+    weigh = lambda c: sum(math.log2(1 + n) for n in c.values())
+    common = weigh(a & b)
+    return common / (weigh(a) + weigh(b) - common)
 
 
 def test_near_duplicates_agree_with_brute_force(spark, sample):
@@ -435,7 +509,7 @@ def test_near_duplicates_agree_with_brute_force(spark, sample):
         rows.append((7000 + i, " ".join(w)))
     sets = {i: shingles(t) for i, t in rows if i is not None}
     ids = sorted(sets)
-    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and sets[b] and alike(sets[a], sets[b]) >= 0.8 - 1e-9]
     want = roots(ids, pairs) | {None: None}
     got = dartminhash.near_dedup(frame(spark, rows)).collect()
     assert len(got) == len(rows) and {r["doc_id"]: r["class_id"] for r in got} == want
@@ -453,8 +527,13 @@ def test_large_buckets_compared_in_blocks_lose_no_link(spark, monkeypatch):
             w[p] = "e%d" % rng.integers(0, 10**6)
         rows.append((i, " ".join(w)))
     sets = {i: shingles(t) for i, t in rows}
-    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()} == roots(sets, pairs)
+    pairs = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8 - 1e-9]
+    want = roots(sets, pairs)
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()} == want
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_dedup(spark.createDataFrame(rows, DOCS), agree=0).collect()} == want
+    # A second, unlike text under each doc_id splits no class.
+    more = rows + [(i, " ".join(f"u{v}" for v in rng.integers(0, 10**6, 200))) for i, _ in rows]
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_dedup(spark.createDataFrame(more, DOCS)).collect()} == want
 
 
 def test_large_buckets_lose_no_link_of_repeated_rows(spark, monkeypatch):
@@ -475,18 +554,20 @@ def test_large_buckets_lose_no_link_of_repeated_rows(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in links.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("counted", [False, True])
-def test_signatures_estimate_the_similarity(counted):
+def test_signatures_estimate_the_weighted_similarity():
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    a = [f"t{v}" for v in rng.integers(0, 40, 3000)]
-    b = a[:2200] + [f"u{v}" for v in rng.integers(0, 40, 500)]
-    data, off = toxicity.K.text_buffer(pa.array([" ".join(a), " ".join(b), "", "one"]))
-    cells, to = dartminhash.cells_of(data, off, counted)
-    x, y = (set(cells[to[i] : to[i + 1]].tolist()) for i in (0, 1))
-    sig = dartminhash.signatures(cells, to)
-    assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.2 and not sig[2].any() and sig[3].all()
+    texts = []
+    for i in range(40):  # shingles of very different weights
+        w = [f"t{v}" for v in np.minimum(rng.geometric(0.25, 400), 12)]
+        texts += [" ".join(w), " ".join([*w[: 400 - 8 * i], *(f"u{v}" for v in rng.integers(0, 6, 8 * i))])]
+    data, off = toxicity.K.text_buffer(pa.array([*texts, "", "one"]))
+    found, times, to = dartminhash.shingle_counts(data, off)
+    assert [int(times[a:b].sum()) for a, b in zip(to, to[1:])] == [396] * 80 + [0, 1]
+    sig = dartminhash.signatures(found, dartminhash.weight(times), to)
+    gap = [(sig[i] == sig[i + 1]).mean() - alike(shingles(texts[i]), shingles(texts[i + 1])) for i in range(0, 80, 2)]
+    assert abs(np.mean(gap)) < 0.03 and np.abs(gap).max() < 0.25 and not sig[80].any() and sig[81].all()
 
 
 def test_components_of_chains_and_stars(spark):
