@@ -55,15 +55,18 @@ def test_stages_take_awkward_rows_and_empty_tables(spark, tmp_path, n):
         docs = docs.withColumn(name, F.lit("x"))
     spark.createDataFrame([(1, 1, None), (None, 0, 1), (9, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, None), (None, "a b c d e f"), (2, "word1 word2 word3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = {}
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(str(tmp_path / name))
         columns, docs = docs.columns, spark.read.parquet(str(tmp_path / name))
+        ids[name] = {r["doc_id"] for r in docs.collect()}
         if name != "mix":
             assert docs.columns == columns
     assert docs.columns[-4:] == ["size", "source_size", "target", "taken"]
     if n:
-        kept = {r["doc_id"] for r in docs.collect()}
-        assert 1 in kept and 2 not in kept and 3 not in kept and 4 not in kept and None in kept
+        assert ids["lines"] == {1, 2, 3, 4, 5, 6, None} and ids["near_dedup"] == ids["lines"] - {2}
+        assert ids["decontaminate"] == {3, 4, 5, 6}  # the others hold the benchmark's item of three words whole
+        assert 3 not in ids["mix"] and 4 not in ids["mix"]
     else:
-        assert docs.count() == 0
+        assert not any(ids.values())
