@@ -52,8 +52,11 @@ def test_scans_read_only_their_columns(spark, sf_dir, name, columns):
 
 
 def test_queries_without_sql_agree_with_plain_loops(spark, sf_dir):
+    import lzma
     import zlib
 
+    from octoweave.operators import baselines
+
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     assert {r["page_id"]: r["crc"] for r in core.chunk_crc32(spark, sf_dir).collect()} == {r["page_id"]: zlib.crc32(r["html"].encode()) for r in pages}
     texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"]}
@@ -66,3 +69,5 @@ def test_queries_without_sql_agree_with_plain_loops(spark, sf_dir):
     assert sum(r["n_chunks"] for r in files) == len(vectors) and sum(r["uncompressed_len"] for r in files) == sum(4 * len(r["embedding"]) for r in vectors)
     sizes = {r["codec"]: r["compressed"] for r in core.baseline_zlib_lzma(spark, sf_dir).collect()}
     assert sizes["zlib"] == sum(len(zlib.compress(t, 9)) for t in texts.values())
+    some = [texts[k] for k in sorted(texts)[:20]] + [b"", b"x", b"abc" * 5000]
+    assert all(len(baselines.CODECS["lzma"](t)) == len(lzma.compress(t, preset=9 | lzma.PRESET_EXTREME)) for t in some)
