@@ -329,10 +329,12 @@ def test_a_large_benchmark_is_searched_in_parts(spark, sf_dir, monkeypatch):
 # --- 6
 
 
-def test_suffixes_agree_with_brute_force(spark, sample, monkeypatch):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 8, 0])
+def test_suffixes_agree_with_brute_force(spark, sample, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 60_000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 60_000)
-    rows, first = sample, {}
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows, first = [*sample, *((9100 + i, f"{i // 3:030d} the quarterly report of the {i % 7:030d}") for i in range(60))], {}
     id_ = lambda i: 2**63 - 1 if i is None else i
     for i, t in rows:
         b = (t or "").encode()
@@ -460,6 +462,94 @@ def test_gradients_are_those_of_the_loss():
             assert got[name].reshape(-1)[i] == pytest.approx((up - down) / (2 * e), abs=2e-3)
 
 
+def test_scores_are_those_of_a_plain_network():
+    """Window by window, word by word, in plain Python floats."""
+    import pyarrow as pa
+
+    texts = ["alpha beta gamma delta " * 20, "Vile words, here and there. " * 9, "one", "", "caf\u00e9 " * 33]
+    data, off = toxicity.K.text_buffer(pa.array(texts))
+    w = toxicity.Words(data, off)
+    vocabulary = np.unique(w.hash)[::2]
+    rng = np.random.default_rng(4)
+    net = toxicity.Network(vocabulary, rng.normal(0, 1, len(vocabulary) + 1), 0.5)
+    net.p["b"], net.p["bo"] = rng.normal(0, 0.2, net.p["b"].shape), np.array([0.3])
+    net.calibration, net.fitted = np.array([1.5, -0.2, 0.1]), True
+    p, h, squash = net.p, toxicity.HIDDEN, lambda v: v / (1 + abs(v))
+
+    def word(name, text):
+        hit = np.flatnonzero(vocabulary == name)
+        row = int(hit[0]) if len(hit) else len(vocabulary)
+        codes = [c + 32 if 65 <= c <= 90 else c for c in text] + [0, 0]
+        grams = [((codes[i] * 961 + codes[i + 1] * 31 + codes[i + 2]) * 2654435761 % 2**32) >> 20 for i in range(max(len(text) - 2, 1))]
+        return [float(net.odds[row]), *p["word"][row], *np.mean([p["char"][g] for g in grams], axis=0)]
+
+    def logit(inputs):
+        states = [[0.0] * (2 * h) for _ in inputs]
+        for d in (0, 1):
+            old = np.zeros(h)
+            for t in range(len(inputs)) if d == 0 else reversed(range(len(inputs))):
+                g, r = np.array(inputs[t]) @ p["wx"][d] + p["b"][d], old @ p["wh"][d]
+                new = np.zeros(h)
+                for k in range(h):
+                    z, reset = (0.5 + 0.5 * squash(g[k + m] + r[k + m]) for m in (0, h))
+                    new[k] = z * old[k] + (1 - z) * squash(g[k + 2 * h] + reset * r[k + 2 * h])
+                states[t][d * h : (d + 1) * h] = old = new
+        weigh = [math.exp(sum(v * squash(x) for v, x in zip(p["va"], np.array(s) @ p["wa"]))) for s in states]
+        pooled = sum(a * np.array(s) for a, s in zip(weigh, states)) / sum(weigh)
+        return float(pooled @ p["wo"] + p["bo"][0])
+
+    want, at = [], 0
+    for text in texts:
+        # A word of under three bytes reads on into what follows it; here no word is so short.
+        found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())
+        inputs = [word(w.hash[at + i], x) for i, x in enumerate(found)]
+        at += len(found)
+        windows = [inputs[a : a + toxicity.WINDOW] for a in range(0, max(len(inputs) - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE) if inputs]
+        windows = windows[: 1 + max(0, -(-(len(inputs) - toxicity.WINDOW) // toxicity.STRIDE))] if inputs else []
+        best = max((logit(x) for x in windows), default=float(p["bo"][0]))
+        a, b, c = net.calibration
+        want.append(1 / (1 + math.exp(-(a * best + b * math.log1p(len(windows)) + c))))
+    assert net.score(w) == pytest.approx(want, abs=2e-5)
+
+
+def test_statistics_and_trees_are_those_of_plain_loops(sample):
+    import pyarrow as pa
+
+    texts = [t for _, t in sample if t is None or len(t) < 20_000][-60:] + ["AB ab AB! x?", "word " * 40, "\u00e9\u00e9 \n# {1}", "y" * 30]
+    data, off = quality.K.text_buffer(pa.array(texts))
+    got, want = quality.statistics(data, off), []
+    for text in texts:
+        raw = (text or "").encode()
+        n, seen = max(len(raw), 1), Counter(raw)
+        found = [m.group() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+        folded, many = Counter(words(text)), max(len(found), 1)
+        plain = words(text)
+        share = lambda members: sum(seen[c] for c in members) / n
+        mean = sum(map(len, found)) / many
+        spread = max(sum(len(x) ** 2 for x in found) / many - mean**2, 0)
+        lines = seen[10]
+        want.append([
+            math.log1p(len(raw)), math.log1p(len(found)), *(share(m) for m in quality._CLASSES.values()), share(range(128, 256)), -sum(v / n * math.log2(v / n) for v in seen.values()),
+            max(seen.values(), default=0) / n, mean, math.sqrt(spread), len(folded) / many, max(folded.values(), default=0) / many,
+            sum(a == b for a, b in zip(plain, plain[1:])) / many, sum(65 <= x[0] <= 90 for x in found) / many, sum(len(x) > 20 for x in found) / many, len(found) / (lines + 1), math.log1p(lines),
+        ])
+    assert got.shape == (len(texts), 21) and np.allclose(got, want, atol=1e-6)
+    rng = np.random.default_rng(1)
+    x = np.r_[got, rng.random((300, 21)) * got.max(axis=0)]
+    forest = quality.Forest(x, (x[:, 0] + x[:, 12] > np.median(x[:, 0] + x[:, 12])).astype(float))
+
+    def walk(row):
+        total = forest.bias
+        for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += value[node - len(feature)]
+        return 1 / (1 + math.exp(-total))
+
+    assert forest.score(x) == pytest.approx([walk(row) for row in x])
+
+
 def test_trees_fit_what_one_split_cannot():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
