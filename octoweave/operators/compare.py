@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bytes_of
-
 RTOL, ATOL = 1e-5, 1e-8
-#: Bytes in which the first difference is looked for.
-LOOK = 1_000_000
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """Place of the first byte that differs, for values of one length that differ somewhere. The part that is equal grows by halving
+    steps, 2 ** i bytes where those are equal too, so that all steps together read a few times the value's length."""
+    top = F.floor(F.log2(F.length(a))).cast("int")
+
+    def grown(at: Column, i: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), i)
+        return at + F.when(F.substring(a, at + 1, step) == F.substring(b, at + 1, step), step).otherwise(0)
+
+    return F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), F.lit(0), grown)
 
 
 def verify_bytes(a: DataFrame, b: DataFrame, key: str, data: str = "data") -> DataFrame:
-    """(key, status, size_a, size_b, first_diff): ok, sizes differ or bytes differ. Hashes decide; only unequal values are taken apart."""
+    """(key, status, size_a, size_b, first_diff): ok, sizes differ or bytes differ. Only unequal values of one size are searched for
+    their first difference."""
     x = a.select(key, F.col(data).alias("a"))
     y = b.select(key, F.col(data).alias("b"))
     both = x.join(y, key, "full")
     size_a, size_b = F.coalesce(F.length("a"), F.lit(0)), F.coalesce(F.length("b"), F.lit(0))
-    head = [bytes_of(F.substring(F.col(c), 1, LOOK)) for c in "ab"]
-    place = F.array_position(F.zip_with(*head, lambda p, q: p != q), True) - 1
     status = F.when(size_a != size_b, "sizes differ").when(F.col("a").eqNullSafe(F.col("b")), "ok").otherwise("bytes differ")
-    first = F.when(status == "bytes differ", F.when(place >= 0, place))
+    first = F.when(status == "bytes differ", first_difference(F.col("a"), F.col("b")).cast("long"))
     return both.select(key, status.alias("status"), size_a.alias("size_a"), size_b.alias("size_b"), first.alias("first_diff"))
 
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,21 @@ def test_less_than_one_row_is_an_error_where_parts_are_dropped(spark):
     df = spark.createDataFrame([(1, b"abc")], "src_id long, data binary")
     with pytest.raises(Exception, match="less than one row"):
         records.flat_records(df, ["a"], exact=False).collect()
+
+
+def test_the_first_difference_is_found_wherever_it_is(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, n in enumerate([1, 2, 3, 7, 8, 9, 64, 1000, 1023, 1024, 1025, 3_000_000]):
+        a = rng.integers(0, 3, n).astype(np.uint8)
+        for at in {0, n // 2, n - 1}:
+            b = a.copy()
+            b[at:] = rng.integers(0, 3, n - at)
+            b[at] = 255 - a[at]
+            rows.append((100 * i + len(rows), a.tobytes(), b.tobytes(), at))
+    rows += [(-1, b"same", b"same", None), (-2, b"long", b"longer", None), (-3, None, b"", None), (-4, None, b"x", None)]
+    df = spark.createDataFrame(rows, "id long, a binary, b binary, at int")
+    started = time.monotonic()
+    got = compare.verify_bytes(df.select("id", F.col("a").alias("data")), df.select("id", F.col("b").alias("data")), "id")
+    assert {r["id"]: r["first_diff"] for r in got.collect()} == {r[0]: r[3] for r in rows} and time.monotonic() - started < 30
+    assert dict(got.dtypes)["first_diff"] == "bigint"
