@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes that are counted or replaced at once; what a task needs beside its Arrow batch is a few times this.
+PIECE_BYTES = 1 << 19
+
 
 def _buffer(column) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.binary()).fill_null(b"")
@@ -52,16 +55,17 @@ def _counted(batch, data: str, keys: tuple[str, ...], pairs: bool):
     of = np.array([groups[n] for n in names])
     width = 65536 if pairs else 256
     totals = np.zeros((len(groups), width), np.int64)
-    for i in range(0, batch.num_rows, 512):
-        j = min(i + 512, batch.num_rows)
-        piece, at = raw[off[i] : off[j]].astype(np.int64), off[i : j + 1] - off[i]
-        group = np.repeat(of[i:j], np.diff(at))
+    for a in range(0, len(raw), PIECE_BYTES):
+        b = min(a + PIECE_BYTES, len(raw))
+        piece = raw[a:b].astype(np.int64)
+        first, last = int(np.searchsorted(off, a, "right")) - 1, int(np.searchsorted(off, b, "left"))
+        cell = np.repeat(of[first:last] * width, np.diff(np.clip(off[first : last + 1], a, b))) + piece
         if pairs:
-            inner = np.ones(len(piece), bool)
-            inner[at[:-1][np.diff(at) > 0]] = False
-            cell = group[inner] * width + (np.r_[0, piece[:-1]] * 256 + piece)[inner]
-        else:
-            cell = group * width + piece
+            cell += 256 * (np.r_[raw[a - 1], raw[a : b - 1]] if a else np.r_[0, raw[: b - 1]]).astype(np.int64)
+            inner = np.ones(b - a, bool)
+            starts = off[:-1][np.diff(off) > 0]
+            inner[starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a] = False
+            cell = cell[inner]
         totals += np.bincount(cell, minlength=totals.size).reshape(totals.shape)
     g, v = np.nonzero(totals)
     columns = {k: pa.array([list(groups)[x][c] for x in g], pa.string()) for c, k in enumerate(keys)}
@@ -86,16 +90,20 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 
 def remapped(docs: DataFrame, table: dict[int, int], data: str = "data") -> DataFrame:
     """Each byte replaced through a table of at most 256 entries; a byte outside the table is an error."""
-    lut = np.full(256, -1, np.int16)
-    lut[list(table)] = list(table.values())
+    lut, known = np.zeros(256, np.uint8), np.zeros(256, bool)
+    lut[list(table)], known[list(table)] = list(table.values()), True
 
     def remap(batches):
         for batch in batches:
             raw, off = _buffer(batch.column(data))
-            out = lut[raw]
-            if (out < 0).any():
-                raise ValueError(f"bytes outside the vocabulary: {sorted(set(raw[out < 0].tolist()))}")
-            arr = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(out.astype(np.uint8))])
-            yield batch.set_column(batch.schema.get_field_index(data), data, arr)
+            i = 0
+            while i < batch.num_rows:  # rows of about PIECE_BYTES, one at least
+                j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE_BYTES, "right")) - 1)
+                piece = raw[off[i] : off[j]]
+                if not (fine := known[piece]).all():
+                    raise ValueError(f"bytes outside the vocabulary: {sorted(set(piece[~fine].tolist()))}")
+                arr = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((off[i : j + 1] - off[i]).astype(np.int32)), pa.py_buffer(lut[piece])])
+                yield batch.slice(i, j - i).set_column(batch.schema.get_field_index(data), data, arr)
+                i = j
 
     return docs.mapInArrow(remap, docs.schema)

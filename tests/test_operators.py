@@ -1,6 +1,8 @@
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,40 @@ def test_the_first_difference_is_found_wherever_it_is(spark):
     got = compare.verify_bytes(df.select("id", F.col("a").alias("data")), df.select("id", F.col("b").alias("data")), "id")
     assert {r["id"]: r["first_diff"] for r in got.collect()} == {r[0]: r[3] for r in rows} and time.monotonic() - started < 30
     assert dict(got.dtypes)["first_diff"] == "bigint"
+
+
+def peak_bytes(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+class Rows:
+    """Stands for a table: hands back what would run over its batches."""
+
+    schema = None
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_what_counting_and_replacing_need_does_not_grow_with_the_batch():
+    rng = np.random.default_rng(6)
+    values = [rng.integers(0, 200, n).astype(np.uint8).tobytes() for n in [0, 40_000, 0, 1, 3_000_000, *[40_000] * 300, 0]]
+    batch = pa.record_batch({"id": pa.array(range(len(values))), "data": pa.array(values, pa.binary())})
+    remap = counts.remapped(Rows(), {b: (b + 1) % 256 for b in range(256)})
+    back = counts.remapped(Rows(), {(b + 1) % 256: b for b in range(256)})
+    got = [(i, d) for piece in back(remap([batch])) for i, d in zip(piece["id"].to_pylist(), piece["data"].to_pylist())]
+    assert got == list(enumerate(values))
+    assert peak_bytes(lambda: [None for _ in remap([batch])]) < batch.nbytes
+    for pairs in (False, True):
+        assert peak_bytes(lambda: list(counts._counted(batch, "data", (), pairs))) < 3 * batch.nbytes
+    (rows,) = counts._counted(batch, "data", (), True)
+    want = np.zeros(65536, np.int64)
+    for v in values:
+        v = np.frombuffer(v, np.uint8).astype(np.int64)
+        want += np.bincount(v[:-1] * 256 + v[1:], minlength=65536)
+    assert {(c, b): n for c, b, n in zip(*(rows[k].to_pylist() for k in ("ctx", "byte", "n")))} == {(i // 256, i % 256): n for i, n in enumerate(want.tolist()) if n}
