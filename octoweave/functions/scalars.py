@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
@@ -44,10 +45,16 @@ def words_le(words: np.ndarray) -> bytes:
     return np.ascontiguousarray(words, "<u4").tobytes()
 
 
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits, stable by subtracting the largest."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, b: a + b))
+    """Probabilities of an array of logits, stable by subtracting the largest. Largest and sum are worked out once for an array, so that
+    its cost follows its length."""
+    exps = held(logits, lambda v: held(F.array_max(v), lambda most: F.transform(v, lambda x: F.exp(x - most))))
+    return held(exps, lambda e: held(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def bits(nats: Column) -> Column:

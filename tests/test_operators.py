@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from octoweave.functions import scalars
 from octoweave.operators import compare, counts, metrics, records, splits
 
 
@@ -191,3 +192,13 @@ def test_what_counting_and_replacing_need_does_not_grow_with_the_batch():
         v = np.frombuffer(v, np.uint8).astype(np.int64)
         want += np.bincount(v[:-1] * 256 + v[1:], minlength=65536)
     assert {(c, b): n for c, b, n in zip(*(rows[k].to_pylist() for k in ("ctx", "byte", "n")))} == {(i // 256, i % 256): n for i, n in enumerate(want.tolist()) if n}
+
+
+def test_softmax_takes_long_arrays(spark):
+    v = np.random.default_rng(7).normal(size=1500)
+    df = spark.createDataFrame([(1, v.tolist()), (2, [5.0]), (3, []), (4, None)], "id long, v array<double>")
+    started = time.monotonic()
+    got = {r["id"]: r["p"] for r in df.select("id", scalars.softmax(F.col("v")).alias("p")).collect()}
+    e = np.exp(v - v.max())
+    assert np.allclose(got[1], e / e.sum(), rtol=1e-12) and got[2] == [1.0] and got[3] == [] and got[4] is None
+    assert time.monotonic() - started < 20
