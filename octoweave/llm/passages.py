@@ -16,10 +16,11 @@ neighbour is a centre too.
    that ask for it, so that a document with very many partners is a join that adaptive execution splits; the first document's block
    verifies. A passage is a window of WINDOW shingles in either document, at most DRIFT places off the diagonal, of which SHARED are
    in the other's: a Jaccard similarity of THRESHOLD, window against window.
-4. The first document of a name need not hold what the others share. Regions that no verified passage covers are put together again
-   by name. Where documents linked to different ones are among them, equal regions of one link stand for one another and the
-   others are compared in blocks: pairs in which a window of WINDOW has LIKELY hits by one byte a shingle are verified as in step 3,
-   and those that join components leave the task, a forest and never all pairs.
+4. The first document of a name need not hold what the others share, and what a second one shares with it need not be what a third
+   shares with the second. Where the links so far leave the documents of a name in several groups, all its regions are put together
+   again; equal regions of one group stand for one another, and regions of different groups are compared in blocks: pairs in
+   which a window of WINDOW has LIKELY hits by one byte a shingle are verified as in step 3, and those that join groups leave the
+   task, a forest and never all pairs.
 
 Documents that share a passage are linked; classes are connected components.
 
@@ -220,7 +221,7 @@ def merged(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
     return group[head], lo[head], reach[np.r_[head[1:] - 1, len(lo) - 1]] - group[head] * top if len(lo) else hi
 
 
-def _edges(rows: pa.Table) -> np.ndarray:
+def _edges(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
     parts = [expand(p, n, _EDGE_KINDS) for p, n in zip(rows["packed"].to_pylist(), rows["n"].to_pylist())]
     e = np.zeros(sum(len(p[0]) for p in parts), EDGE)
     for name, column in zip(EDGE.names, zip(*parts)):
@@ -370,31 +371,27 @@ def _verified(rows: pa.Table, met: pa.Table, out: dict) -> None:
             on_z += (int(a + lo[k] + d[k]), int(b + lo[k] + d[k]))
 
 
-_OPEN = pa.schema([("name", pa.int64()), ("node", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_REGION = pa.schema([("name", pa.int64()), ("node", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
-def _open(rows: pa.Table, links: pa.Table) -> pa.Table:
-    """The regions that no verified passage of their pair covers."""
-    if not len(rows):
-        return _OPEN.empty_table()
-    e = _edges(rows)
-    spans = [(x, z, a, b) for x, z, at in zip(*(links[n].to_pylist() for n in ("x", "z", "x_at"))) for a, b in zip(at[::2], at[1::2])]
-    sx, sz, lo, hi = np.array(spans, np.int64).reshape(-1, 4).T
-    pair, _ = _numbered(np.r_[sx, e["x"]], np.r_[sz, e["z"]])
-    group, lo, hi = merged(pair[: len(sx)], lo, hi)
-    pair, c = pair[len(sx) :], e["xc"].astype(np.int64)
-    at = np.searchsorted(group << 32 | lo, pair << 32 | c, "right") - 1
-    covered = (at >= 0) & (group[at] == pair) & (c <= hi[at]) if len(group) else np.zeros(len(e), bool)
-    e, c = e[~covered], c[~covered]
-    # Windows begin from c - xa to c - xb.
-    return pa.table({"name": e["k"].view(np.int64), "node": e["x"], "c": c, "lo": c - e["xa"], "hi": c - e["xb"] + WINDOW - 1}, schema=_OPEN)
-
-
-def _filled(rows: pa.Table, open_: pa.Table) -> pa.Table:
+def _members(batches):
+    """The regions on either side of joined pairs, each once for a run of pairs."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            e = _edges(batch.slice(i, 1))
+            name = np.r_[e["k"], e["k"]].view(np.int64)
+            node, c, a, b = (np.r_[e["x" + n], e["z" + n]].astype(np.int64) for n in ("", "c", "a", "b"))
+            _, some = _numbered(name, node, c, a, b)
+            name, node, c, a, b = (v[some] for v in (name, node, c, a, b))
+            # Windows begin from c - a to c - b.
+            yield pa.record_batch([name, node, c, c - a, c - b + WINDOW - 1], schema=_REGION)
+
+
+def _filled(rows: pa.Table, some: pa.Table) -> pa.Table:
     """The regions with their shingles."""
-    block = _Block(rows) if len(rows) and len(open_) else None
-    at = zip(*(open_[n].to_pylist() for n in ("node", "lo", "hi")))
-    return open_.drop_columns(["block"]).append_column("shingles", pa.array([K.pack_ints(block.whole(node)[lo : hi + 1], HASH_BYTES) for node, lo, hi in at], pa.binary()))
+    block = _Block(rows) if len(rows) and len(some) else None
+    at = zip(*(some[n].to_pylist() for n in ("node", "lo", "hi")))
+    return some.drop_columns(["block"]).append_column("shingles", pa.array([K.pack_ints(block.whole(node)[lo : hi + 1], HASH_BYTES) for node, lo, hi in at], pa.binary()))
 
 
 def _likely(a: np.ndarray, held: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -430,7 +427,7 @@ def _side_by_side(a: np.ndarray, held: np.ndarray, x: np.ndarray, z: np.ndarray)
 def _joins(rows: pa.Table) -> pa.Table:
     """Verified pairs of regions of one name, as many as join the components among a block's documents."""
     name, p, q, at, node, class_id, c, lo = (np.array(rows[n].combine_chunks()) for n in ("name", "p", "q", "at", "node", "class_id", "c", "lo"))
-    order = np.lexsort((node, q, p, name))
+    order = np.lexsort((node, class_id, q, p, name))
     name, p, q, at, node, class_id, c, lo = (v[order] for v in (name, p, q, at, node, class_id, c, lo))
     data, off = K.text_buffer(rows["shingles"])
     size, first_ = np.diff(off)[order] // HASH_BYTES, off[:-1][order] // HASH_BYTES
@@ -441,8 +438,10 @@ def _joins(rows: pa.Table) -> pa.Table:
     small = a.astype(np.uint8)
     new = np.r_[True, (name[1:] != name[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
     head = np.flatnonzero(new)
-    first = head[np.cumsum(new) - 1]
-    before, out = np.arange(len(node)) - first, []
+    first, end = head[np.cumsum(new) - 1], np.r_[head[1:], len(new)][np.cumsum(new) - 1]
+    # Each region meets those of its name that are of earlier classes.
+    own = new | np.r_[True, class_id[1:] != class_id[:-1]]
+    before, out = np.flatnonzero(own)[np.cumsum(own) - 1] - first, []
     to = np.r_[0, np.cumsum(before)]
     for i, j in K.slices(to, 1 << 13):
         x, z = np.repeat(np.arange(i, j), before[i:j]), K.ragged(first[i:j], before[i:j])
@@ -455,9 +454,10 @@ def _joins(rows: pa.Table) -> pa.Table:
                     ok = test(of, held, u, v)
                     u, v = u[ok], v[ok]
             for r, s in zip(u.tolist(), v.tolist()):
-                if class_id[r] != class_id[s]:  # not joined meanwhile
+                if class_id[r] != class_id[s]:  # not joined meanwhile, among the regions of this name
                     old, least = max(class_id[r], class_id[s]), min(class_id[r], class_id[s])
-                    class_id[class_id == old] = least
+                    beside = class_id[first[r] : end[r]]
+                    beside[beside == old] = least
                     ours, theirs = np.where(held[r], a[r], _PAD)[None, DRIFT : _WIDTH - DRIFT], np.where(held[s], a[s], _NONE)[None]
                     _, lo_, hi_ = passages_between(ours, theirs)
                     found = np.stack([lo_, hi_], 1) - (WINDOW - 1)
@@ -492,24 +492,31 @@ def passage_links(docs: DataFrame) -> DataFrame:
     met = placed.join(pieces.hint("merge"), ["z", "piece"]).select(block("x"), "x", "z", "d", "lo", "hi", "piece", "shingles")
     first = materialise(texts.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_verify(buckets), linked), "links")
 
-    # What no passage of its own pair covers.
-    open_ = edges.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(_open, "name long, node long, c long, lo long, hi long")
-    open_ = materialise(open_, "open")
-    drop(edges, asked)
-    # A document's class here is the least it is linked to; more than that, only the end of all needs.
+    # All regions of the names whose documents the passages so far leave in several groups.
+    members = edges.mapInArrow(_members, "name long, node long, c long, lo long, hi long").distinct()
+    # A document's group here is the least it is linked to: coarse enough, and regions that its links do not cover are still compared.
     groups = first.groupBy(F.col("x").alias("node_")).agg(F.min("z").alias("class_id"))
-    spread = open_.groupBy("name").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("name")
-    placed = open_.join(materialise(spread, "spread").hint("merge"), "name").join(groups, F.col("node") == F.col("node_"), "left").withColumn("class_id", F.coalesce("class_id", "node")).drop("node_")
+    members = materialise(members.join(groups, F.col("node") == F.col("node_"), "left").withColumn("class_id", F.coalesce("class_id", "node")).drop("node_"), "members")
+    drop(edges, asked)
+    spread = members.groupBy("name").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most").select("name")
+    placed = members.join(materialise(spread, "spread").hint("merge"), "name")
     filled = "name long, node long, class_id long, c long, lo long, hi long, shingles binary"
     mixed = texts.groupBy("block").cogroup(placed.select(block("node"), "name", "node", "class_id", "c", "lo", "hi").groupBy("block")).applyInArrow(_filled, filled)
     same = [F.xxhash64("shingles").alias("like"), (F.col("c") - F.col("lo")).alias("reach")]
     alike = materialise(mixed.groupBy("name", "class_id", *same).agg(F.min(F.struct("node", "c", "lo", "shingles")).alias("r")).select("name", "class_id", "r.*"), "alike")
-    several = alike.groupBy("name").agg(F.count("*").alias("n"), F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most")
-    cut = alike.join(materialise(several.select("name", "n"), "several").hint("merge"), "name").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("at", "other")).withColumn("q", F.greatest("at", "other"))
+    # A name's largest group meets all others, and not itself: its blocks come after theirs.
+    sizes = alike.groupBy("name", "class_id").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("name").agg(F.sum("k").alias("n"), F.max("k").alias("k"), F.max_by("class_id", F.struct("k", "class_id")).alias("main"))
+    blocks_of = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    cut = alike.join(materialise(sizes, "sizes").hint("merge"), "name").withColumn("n", F.col("n") - F.col("k"))
+    one, in_main = F.col("n") + F.col("k") <= BLOCK_ROWS, F.col("class_id") == F.col("main")
+    cut = cut.withColumn("others", F.when(one, 1).otherwise(blocks_of("n"))).withColumn("blocks", F.when(one, 1).otherwise(F.col("others") + blocks_of("k")))
+    at = F.when(in_main & ~one, F.col("others") + F.pmod(F.xxhash64("node"), F.col("blocks") - F.col("others"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    cut = cut.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("others")).otherwise(F.col("blocks")) - 1)))
+    cut = cut.withColumn("p", F.least("at", "other")).withColumn("q", F.greatest("at", "other"))
     dealt = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("name"), F.lit(buckets))).otherwise(F.xxhash64("name", "p", "q")).alias("bucket")
     more = materialise(cut.select(dealt, "name", "p", "q", "at", "node", "class_id", "c", "lo", "shingles").groupBy("bucket").applyInArrow(_joins, linked), "links")
-    drop(open_, alike)
+    drop(members, alike)
 
     names = docs.select(node, "doc_id").distinct()
     sides = [names.withColumnsRenamed({"node": n, "doc_id": f"{n}_id"}) for n in "xz"]
