@@ -17,10 +17,11 @@ neighbour is a centre too.
    verifies. A passage is a window of WINDOW shingles in either document, at most DRIFT places off the diagonal, of which SHARED are
    in the other's: a Jaccard similarity of THRESHOLD, window against window.
 4. The first document of a name need not hold what the others share, and what a second one shares with it need not be what a third
-   shares with the second. Where the links so far leave the documents of a name in several groups, all its regions are put together
-   again; equal regions of one group stand for one another, and regions of different groups are compared in blocks: pairs in
-   which a window of WINDOW has LIKELY hits by one byte a shingle are verified as in step 3, and those that join groups leave the
-   task, a forest and never all pairs.
+   shares with the second. Where the links so far leave the documents of a name in several connected groups, all its regions are put
+   together again; equal regions of one group stand for one another, and regions of different groups are compared in blocks. A passage's
+   window has MISSES shingles at most that are not shared, so that of any MISSES + 1 of them one is: each region looks up the least
+   common ones of its windows, and meets those that hold one. Pairs in which a window of WINDOW has LIKELY hits by one byte a
+   shingle are verified as in step 3, and those that join groups leave the task, a forest and never all pairs.
 
 Documents that share a passage are linked; classes are connected components.
 
@@ -47,7 +48,9 @@ SHARED = int(np.ceil(2 * THRESHOLD * WINDOW / (1 + THRESHOLD)))
 #: Places that shared shingles may lie off the diagonal; shingles of a piece.
 DRIFT, PIECE = 8, 64
 #: Hits by one byte a shingle that make a pair of the second round a candidate, fewer than SHARED; members of a block.
-LIKELY, BLOCK_ROWS = 36, 512
+LIKELY, BLOCK_ROWS = 36, 2048
+#: Shingles of a passage's window that need not be shared; starts of windows whose probes are chosen together.
+MISSES, STEP = WINDOW - SHARED, 4
 KEY_BYTES, HASH_BYTES = 5, 5
 CHUNK_BYTES, BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20, 8 << 20
 _PIECE = 1 << 20
@@ -424,6 +427,56 @@ def _side_by_side(a: np.ndarray, held: np.ndarray, x: np.ndarray, z: np.ndarray)
     return np.logical_and(*((t[:, WINDOW:] - t[:, :-WINDOW]) >= SHARED for t in total)).any(axis=1)
 
 
+def _probes(often: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which places of each region, from its first on, are asked for: of any WINDOW in a row the MISSES + 1 least common, so that a window
+    with SHARED hits has a hit among them."""
+    asked = np.zeros(often.shape, bool)
+    place = np.arange(WINDOW)
+    for s in range(0, often.shape[1] - WINDOW + 1, STEP):
+        # All windows that start from s to s + STEP - 1 hold the places of the first that are not before the last one's start.
+        rows = np.flatnonzero(size >= s + WINDOW)
+        inner = place >= np.minimum(STEP - 1, size[rows] - WINDOW - s)[:, None]
+        rank = np.where(inner, often[rows, s : s + WINDOW] * WINDOW + place, np.iinfo(np.int64).max)
+        asked[rows[:, None], s + np.argpartition(rank, MISSES, axis=1)[:, : MISSES + 1]] = True
+    return asked
+
+
+def _index(a: np.ndarray, held: np.ndarray, group: np.ndarray, first: np.ndarray, end: np.ndarray):
+    """For each region how many candidates from ``first`` to before ``end`` it has, and a function that gives those of regions i to
+    before j: all that hold one of its probes at most DRIFT places off, or the whole range, whichever is less to look at."""
+    row, column = np.nonzero(held)
+    key = group[row].astype(np.uint64) << U(8 * HASH_BYTES) | a[held]
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    head, run = np.flatnonzero(new), np.zeros(len(key), np.int64)
+    run[order] = np.cumsum(new) - 1
+    size = held.sum(axis=1)
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    often = np.zeros((len(size), int(size.max())), np.int64)
+    often[np.arange(often.shape[1]) < size[:, None]] = np.diff(np.r_[head, len(key)])[run]
+    ask = np.flatnonzero(_probes(often, size)[np.arange(often.shape[1]) < size[:, None]])
+    # Who holds a shingle stands in order of regions.
+    holder, place = row[order], column[order]
+    lo = np.searchsorted(run[order] * len(size) + holder, run[ask] * len(size) + first[row[ask]])
+    hi = np.searchsorted(run[order] * len(size) + holder, run[ask] * len(size) + end[row[ask]])
+    asks = np.searchsorted(ask, np.r_[start, len(key)])
+    found = np.diff(np.r_[0, np.cumsum(hi - lo)][asks])
+    work = np.minimum(found, end - first)
+
+    def candidates(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.arange(i, j)[found[i:j] > work[i:j]]
+        some = np.arange(asks[i], asks[j])
+        some = some[found[row[ask[some]]] <= work[row[ask[some]]]]
+        n = hi[some] - lo[some]
+        x, at, of = np.repeat(row[ask[some]], n), np.repeat(column[ask[some]], n), K.ragged(lo[some], n)
+        near = np.abs(place[of] - at) <= DRIFT
+        n = end[plain] - first[plain]
+        pair = np.unique(np.r_[x[near] * len(size) + holder[of[near]], np.repeat(plain, n) * len(size) + K.ragged(first[plain], n)])
+        return pair // len(size), pair % len(size)
+
+    return work, candidates
+
+
 def _joins(rows: pa.Table) -> pa.Table:
     """Verified pairs of regions of one name, as many as join the components among a block's documents."""
     name, p, q, at, node, class_id, c, lo = (np.array(rows[n].combine_chunks()) for n in ("name", "p", "q", "at", "node", "class_id", "c", "lo"))
@@ -437,14 +490,13 @@ def _joins(rows: pa.Table) -> pa.Table:
     a[held] = K.unpack_ints(data.tobytes(), HASH_BYTES)[K.ragged(first_, size)]
     small = a.astype(np.uint8)
     new = np.r_[True, (name[1:] != name[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
-    head = np.flatnonzero(new)
-    first = head[np.cumsum(new) - 1]
     # Each region meets those of its name that are of earlier classes.
     own = new | np.r_[True, class_id[1:] != class_id[:-1]]
-    before, out = np.flatnonzero(own)[np.cumsum(own) - 1] - first, []
-    to = np.r_[0, np.cumsum(before)]
-    for i, j in K.slices(to, 1 << 13):
-        x, z = np.repeat(np.arange(i, j), before[i:j]), K.ragged(first[i:j], before[i:j])
+    first, end = np.flatnonzero(new)[np.cumsum(new) - 1], np.flatnonzero(own)[np.cumsum(own) - 1]
+    work, candidates = _index(a, held, np.cumsum(new) - 1, first, end)
+    out = []
+    for i, j in K.slices(np.r_[0, np.cumsum(work)], 1 << 13):
+        x, z = candidates(i, j)
         for k in range(0, len(x), 1 << 13):
             u, v = x[k : k + (1 << 13)], z[k : k + (1 << 13)]
             ok = (node[u] != node[v]) & (class_id[u] != class_id[v]) & ((p[u] == q[u]) | (at[u] != at[v]))
@@ -493,8 +545,8 @@ def passage_links(docs: DataFrame) -> DataFrame:
 
     # All regions of the names whose documents the passages so far leave in several groups.
     members = edges.mapInArrow(_members, "name long, node long, c long, lo long, hi long").distinct()
-    # A document's group here is the least it is linked to: coarse enough, and regions that its links do not cover are still compared.
-    groups = first.groupBy(F.col("x").alias("node_")).agg(F.min("z").alias("class_id"))
+    # A document's group is all that its links reach: what is joined by now is not compared again.
+    groups = components(first, "x", "z").withColumnRenamed("node", "node_")
     members = materialise(members.join(groups, F.col("node") == F.col("node_"), "left").withColumn("class_id", F.coalesce("class_id", "node")).drop("node_"), "members")
     drop(edges, asked)
     spread = members.groupBy("name").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most").select("name")

@@ -5,6 +5,7 @@ import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,81 @@ def test_recall_of_edited_passages_and_unlike_ones_left_alone(spark):
     assert len(near) > 20 and len(far) > 20 and found >= 0.9 * len(near) and all(got[2 * g + 1] == 2 * g + 1 for g in far)
 
 
+def regions_table(rows):
+    """(name, node, class_id, c, lo, shingles) as the second round gets them."""
+    rows = [(0, name, 0, 0, 0, node, class_id, c, lo, dartminhash.K.pack_ints(np.array(v, np.uint64), passages.HASH_BYTES)) for name, node, class_id, c, lo, v in rows]
+    names = ("bucket", "name", "p", "q", "at", "node", "class_id", "c", "lo", "shingles")
+    return pa.table({n: pa.array([r[i] for r in rows], pa.binary() if n == "shingles" else pa.int64()) for i, n in enumerate(names)})
+
+
+def test_regions_of_a_name_meet_as_if_all_were_compared():
+    """Edits, drifts and periodic texts against a loop over all pairs, in order."""
+    rng = np.random.default_rng(31)
+    hits = 0
+    for turn in range(40):
+        rows, letters = [], int(rng.choice([3, 1 << 39]))
+        for name in range(int(rng.integers(1, 4))):
+            base = rng.integers(1, letters + 1, 91)
+            for _ in range(int(rng.integers(2, 40))):
+                v = list(base)
+                v[45] = (1 << 39) + name
+                for at in sorted(rng.choice(np.r_[:45, 46:91], int(rng.choice([0, 3, 6, 12, 40])), replace=False).tolist(), reverse=True):
+                    v[at : at + 1] = rng.integers(4, 1 << 39, int(rng.choice([1, 1, 1, 0, 2]) if 20 < at < 70 and turn % 2 else 1)).tolist()
+                centre = v.index((1 << 39) + name)
+                a, b = sorted(rng.integers(0, 46, 2).tolist(), reverse=True)
+                a, b = min(a, centre), max(b, centre + 46 - len(v))
+                if a >= b >= 0:
+                    rows.append((name, len(rows), int(rng.integers(0, 30)), 500, 500 - a, v[centre - a : centre - b + 46]))
+        if not rows:
+            continue
+        rows.sort(key=lambda r: (r[0], r[2], r[1]))
+        width, centre = passages._WIDTH, passages._CENTRE
+        held, a, of = np.zeros((len(rows), width), bool), np.zeros((len(rows), width), np.uint64), [r[2] for r in rows]
+        for i, (_, _, _, c, lo, v) in enumerate(rows):
+            at = centre - c + lo
+            held[i, at : at + len(v)], a[i, at : at + len(v)] = True, v
+        want = []
+        for i in range(len(rows)):
+            for j in range(i):
+                if rows[i][0] == rows[j][0] and rows[i][2] != rows[j][2] and of[i] != of[j] and passages._side_by_side(a, held, np.array([i]), np.array([j]))[0]:
+                    want.append((rows[i][1], rows[j][1]))
+                    of = [min(of[i], of[j]) if x == max(of[i], of[j]) else x for x in of]
+        got = passages._joins(regions_table([rows[i] for i in rng.permutation(len(rows))]))
+        assert list(zip(got["x"].to_pylist(), got["z"].to_pylist())) == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_unlike_regions_of_a_name_do_not_all_meet(monkeypatch):
+    """Regions that share a line about their centre, and two that are alike."""
+    rng, n, met = np.random.default_rng(32), 1500, []
+    base = rng.integers(1, 1 << 39, 60)
+    rows = []
+    for i in range(n):
+        v = rng.integers(1, 1 << 39, 60)
+        v[18:38] = base[18:38]
+        rows.append((5, i, i, 100, 70, v if i != n - 1 else np.r_[rows[7][5][:50], v[50:]]))
+    likely = passages._likely
+    monkeypatch.setattr(passages, "_likely", lambda a, held, x, z: met.append(len(x)) or likely(a, held, x, z))
+    got = passages._joins(regions_table(rows))
+    assert list(zip(got["x"].to_pylist(), got["z"].to_pylist())) == [(n - 1, 7)] and sum(met) <= 10 * n
+
+
+def test_what_the_first_links_connect_is_not_compared_again(spark, monkeypatch):
+    """Many share one passage, and by others are linked to different documents first: all are one group before the second round."""
+    rng = np.random.default_rng(33)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    passage, others = word(60), [word(60) for _ in range(10)]
+    rows = [(i, " ".join(word(60) + passage + word(60) + others[i % 10] + word(60))) for i in range(60)]
+
+    def refuse(regions):
+        raise ValueError(f"{len(regions)} regions are compared again")
+
+    monkeypatch.setattr(passages, "_joins", refuse)
+    got = {r["doc_id"]: r["class_id"] for r in passages.passage_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_texts_that_share_a_doc_id_are_each_compared(spark):
     rng = np.random.default_rng(2)
     text = lambda n: " ".join("w%d" % v for v in rng.integers(0, 10**6, n))
