@@ -579,8 +579,8 @@ def passage_links(docs: DataFrame) -> DataFrame:
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its group; its own if it shares nothing), n_links, and first_word and last_word: where its
-    shared passages begin and end (null without)."""
+    """doc_id, class_id (smallest doc_id of its group; its own if it shares nothing), n_links, and first_word and last_word: where the
+    passages of its links begin and end (null without)."""
     links = passage_links(docs)
     groups = components(links)
     sides = links.select(F.col("a").alias("doc_id"), F.array_min("a_at").alias("lo"), F.array_max("a_at").alias("hi")).unionByName(links.select(F.col("b").alias("doc_id"), F.array_min("b_at").alias("lo"), F.array_max("b_at").alias("hi")))
